@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from askweave.functions import fixed
 from askweave.functions import text as T
 
-NONE = F.lit(None).cast("string")
 _TRAIL = r"(?U)\s*[?!.]*$"
 
 
@@ -101,7 +100,7 @@ def _body(text: Column, folded: Column, patterns: list[tuple[str, bool]]) -> Col
     (``leading``) or ends it up to closing punctuation; its offset follows.
     """
     core = F.length(F.regexp_replace(folded, _TRAIL, ""))
-    out = NONE
+    out = F.lit(None).cast("string")
     for pattern, leading in reversed(patterns):
         found = F.regexp_extract(folded, "(?U)" + pattern, 1)
         start = F.lit(0) if leading else core - F.length(found)

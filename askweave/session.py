@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,15 +41,31 @@ def broadcast_if_fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df) if fits(df, max_rows) else df
 
 
+_own_folder: dict[str, str] = {}
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster; a local one only when unset."""
+    """The shared folder the cluster names; a local one of our own only where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
+    if folder:
+        return folder
+    app = spark.sparkContext.applicationId
+    if app not in _own_folder:
+        _own_folder[app] = tempfile.mkdtemp(prefix="askweave-")
+    return _own_folder[app]
+
 
-        folder = tempfile.mkdtemp(prefix="askweave-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and read it back.
+
+    Used for small aggregates several later steps need: they are computed once,
+    their row count is known from file metadata, and a lost executor costs a
+    re-read instead of a recomputation.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/askweave/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def default_cpus() -> str:

@@ -38,7 +38,7 @@ pieces AS (SELECT doc_id, par, piece, CAST(row_number() OVER w - 1 AS INTEGER) A
                   count(*) OVER (PARTITION BY doc_id, par) AS n
            FROM pieces1 WINDOW w AS (PARTITION BY doc_id, par ORDER BY pos, sub ROWS UNBOUNDED PRECEDING)),
 ends AS (SELECT a.doc_id, a.par, a.i, a.n, greatest(a.i + 1, max(CASE WHEN b.total - (a.total - a.words) <= {_MAX} THEN b.i + 1 ELSE 0 END)) AS e
-         FROM pieces a JOIN pieces b ON a.doc_id = b.doc_id AND a.par = b.par AND b.i >= a.i GROUP BY ALL),
+         FROM pieces a JOIN pieces b ON a.doc_id = b.doc_id AND a.par = b.par AND b.i >= a.i GROUP BY a.doc_id, a.par, a.i, a.n),
 chain AS (
   SELECT doc_id, par, i, e, n FROM ends WHERE i = 0
   UNION ALL
