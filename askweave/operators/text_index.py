@@ -70,10 +70,16 @@ def document_frequency(tok: DataFrame) -> DataFrame:
 ALL = ""  # no token is empty, so the empty term can stand for "every document"
 
 
-def _term_rows(tok: DataFrame) -> DataFrame:
-    """Distinct terms per document plus one ``ALL`` row that carries its length."""
-    terms = F.concat(F.array_distinct("tokens"), F.array(F.lit(ALL)))
-    return tok.select("len", F.explode_outer(terms).alias("term"))
+def _term_rows(tok: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Every (document, term) once, plus one ``ALL`` row per document that carries its length.
+
+    Unwanted terms are dropped right behind the generator, before duplicates are
+    removed in the hash aggregate of the same stage.
+    """
+    rows = tok.select("doc_id", "len", F.explode_outer(F.concat("tokens", F.array(F.lit(ALL)))).alias("term"))
+    if wanted is not None:
+        rows = rows.join(maybe_broadcast(wanted), "term", "left_semi")
+    return rows.select("doc_id", "len", "term").distinct()
 
 
 @dataclass(frozen=True)
@@ -92,10 +98,10 @@ def statistics(tok: DataFrame, vocabulary: DataFrame | None = None) -> Statistic
     most that many rows.  The result is written once; the two totals are the
     only values that reach the driver.
     """
-    rows = _term_rows(tok)
+    wanted = None
     if vocabulary is not None:
         wanted = vocabulary.select("term").distinct().unionByName(vocabulary.sparkSession.sql(f"SELECT '{ALL}' AS term"))
-        rows = rows.join(maybe_broadcast(wanted), "term", "left_semi")
+    rows = _term_rows(tok, wanted)
     counted = materialize(
         rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("len").alias("total_len")), "terms"
     )
