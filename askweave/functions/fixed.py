@@ -336,3 +336,121 @@ DEBUG_PRIORITY = [
     (2, ["EVIDENCE_UNSUPPORTED"]),
     (1, ["NO_VALID_SPAN"]),
 ]
+
+# --- fixed values: extraction patterns (applied to the original spelling) ----------------------
+
+_UPPER = "A-ZÀÁẢÃẠĂẮẰẲẴẶÂẤẦẨẪẬĐÈÉẺẼẸÊẾỀỂỄỆÌÍỈĨỊÒÓỎÕỌÔỐỒỔỖỘƠỚỜỞỠỢÙÚỦŨỤƯỨỪỬỮỰỲÝỶỸỴ"
+PROPER_NAME = rf"[{_UPPER}][\wÀ-ỹĐđ'’-]*(?:[\s_]+[{_UPPER}][\wÀ-ỹĐđ'’-]*){{0,5}}"
+PERSON_TITLE = (
+    r"(?:Thiếu[\s_]+tướng|Đại[\s_]+tướng|Trung[\s_]+tướng|Tổng[\s_]+thống|"
+    r"Thủ[\s_]+tướng|Chủ[\s_]+tịch|Giáo[\s_]+sư|Tiến[\s_]+sĩ)"
+)
+CONTRAST_QUESTION = r"\b(?:khac biet|khac nhau|phan biet|so voi|so sanh)\b"
+ALIAS_QUESTION = r"\b(?:ten goi|bi danh|ten khac|ten) nao\b"
+ROLE_QUESTION = r"\b(?:chuc vu|vai tro|tu cach)\b"
+DESCRIPTION_QUESTION = r"\b(?:nhu the nao|ra sao)\b"
+PROPERTY_QUESTION = r"\b(?:tinh chat|dac diem|trang thai)\b"
+SITUATION_QUESTION = r"\b(?:tinh hinh|dien bien|anh huong|tac dong|vai tro|vi the)\b"
+CONTRAST_PATTERNS = [
+    r"(?:sự[\s_]+)?khác[\s_]+biệt[\s_]+giữa[\s_]+.+?[\s_]+và[\s_]+.+?(?=[.;!?]|$)",
+    r"[^.;!?]+?[\s_]+trong[\s_]+khi[\s_]+[^.;!?]+",
+]
+PURPOSE_PATTERN = (
+    r"\b(?:để|nhằm|với[\s_]+mục[\s_]+đích(?:[\s_]+là)?)[\s_]+([^,.;!?]{2,180}?)(?=[,.;!?]|$)"
+)
+METHOD_PATTERN = r"\b(?:bằng[\s_]+cách|thông[\s_]+qua|nhờ)[\s_]+([^,.;!?]{2,180}?)(?=[,.;!?]|$)"
+ALIAS_PATTERN = (
+    r"\b(?:có[\s_]+)?(?:tên[\s_]+gọi|bí[\s_]+danh|tên[\s_]+khác)"
+    rf"(?:[\s_]+(?:của|là))?[\s_:,-]+(?:là[\s_]+)?({PROPER_NAME})"
+)
+ROLE_PATTERN = (
+    r"\b(?:được[\s_]+giao[\s_]+nhiệm[\s_]+vụ|giữ[\s_]+chức[\s_]+vụ|"
+    r"đảm[\s_]+nhiệm(?:[\s_]+(?:chức[\s_]+vụ|vai[\s_]+trò))?|"
+    r"với[\s_]+tư[\s_]+cách(?:[\s_]+là)?)[\s_:,-]+"
+    r"([^,.;!?]{2,100}?)(?=[\s_]+(?:dự|tại|trong|khi|từ|đến)[\s_]+|[,.;!?]|$)"
+)
+PROPERTY_PATTERN = (
+    r"\b((?:rất|vô[\s_]+cùng|cực[\s_]+kỳ|khá|tương[\s_]+đối|đặc[\s_]+biệt)[\s_]+[^,.;!?]{1,100}?)(?=[,.;!?]|$)"
+)
+TEMPORAL_PATTERNS = [
+    r"\b(?:Năm|năm)[\s_]+\d{3,4}\b",
+    r"\b(?:Tháng|tháng)[\s_]+\d{1,2}(?:[\s_]+(?:năm)[\s_]+\d{3,4})?\b",
+    r"\b(?:Ngày|ngày)[\s_]+\d{1,2}(?:[\s_]+tháng[\s_]+\d{1,2})?(?:[\s_]+năm[\s_]+\d{3,4})?\b",
+    r"(?i)\b(?:thế[\s_]+kỷ)[\s_]+(?:\d{1,2}|[IVX]{1,5})\b",
+]
+NUMBER_PATTERNS = [
+    r"\b(?:hơn|gần|khoảng|trên|dưới)?[\s_]*\d+(?:[.,]\d+)?(?:[\s_]*%)?"
+    r"(?:[\s_]+(?:người|con|lần|phần|nhóm|chiếc|km|mét|triệu|tỷ|nghìn))?\b",
+    r"\b(?:không|một|hai|ba|bốn|tư|năm|sáu|bảy|tám|chín|mười)"
+    r"(?:[\s_]+(?:người|đứa|người[\s_]+con))?[\s_]+(?:con|người|lần|phần|nhóm|chiếc|năm)\b",
+]
+PERSON_PATTERNS = [
+    rf"\b(?:là|do)[\s_]+((?:{PERSON_TITLE}[\s_]+)?{PROPER_NAME})"
+    r"(?=[\s_]+(?:lãnh[\s_]+đạo|đứng[\s_]+đầu)|[,.;!?]|$)",
+    rf"\b({PERSON_TITLE}[\s_]+{PROPER_NAME})",
+]
+# (name, pattern, base score)
+ENTITY_PATTERNS = [
+    ("called_name", r"\b(?:được[\s_]+gọi[\s_]+là|được[\s_]+biết[\s_]+đến[\s_]+(?:như|là))\b", 0.82),
+    ("typed_copula", r"\b(?:chính[\s_]+)?là[\s_]+(?:vị[\s_]+trí|nơi|tên[\s_]+của)\b", 0.84),
+    ("location_or_membership", r"\b(?:tọa[\s_]+lạc[\s_]+tại|nằm[\s_]+tại|thuộc|bao[\s_]+gồm|gồm)\b", 0.80),
+    ("plain_copula", r"\b(?:chính[\s_]+)?là\b", 0.68),
+]
+ENTITY_MINIMUM = 0.72
+COMPARISON_PREFIX = r"\b(?:hon|kem|thay vi|khong phai|cung nhu|vi nhu)\s*$"
+ENTITY_SCAFFOLD = r"^(?:(?:(?:là|chính[\s_]+là|vị[\s_]+trí|nơi|tên[\s_]+của)[\s_:,-]+)|(?:(?:một|các|những)[\s_]+))+"
+ENTITY_TAIL = r",\s+(?:nơi|mà|vốn|được|đã|sẽ|từng|nhưng|còn|do|vì|khi|trong[\s_]+khi)\b"
+# relation -> (pattern on folded question, pattern on original sentence)
+PLACE_RELATIONS = [
+    ("EVENT_LOCATION", r"(?:dien ra|xay ra|no ra)", r"(?:diễn[\s_]+ra|xảy[\s_]+ra|nổ[\s_]+ra)"),
+    ("OBJECT_LOCATION", r"(?:nam|toa lac|dat|dong|thuoc)", r"(?:nằm|tọa[\s_]+lạc|đặt|đóng|thuộc)"),
+    ("PROCESS_LOCATION", r"(?:sinh ra|moc(?: ra)?|phat trien|xuat hien|phan bo|duoc trong|duoc tim thay)",
+     r"(?:sinh[\s_]+ra|mọc(?:[\s_]+ra)?|phát[\s_]+triển|xuất[\s_]+hiện|phân[\s_]+bố|được[\s_]+trồng|được[\s_]+tìm[\s_]+thấy)"),
+    ("BIRTH_LOCATION", r"(?:sinh(?=\s+(?:o|tai))|chao doi|ra doi)", r"(?:sinh(?=[\s_]+(?:ở|tại))|chào[\s_]+đời|ra[\s_]+đời)"),
+    ("DEATH_LOCATION", r"(?:mat|qua doi)", r"(?:mất|qua[\s_]+đời)"),
+    ("ORGANIZED_LOCATION", r"(?:duoc to chuc|to chuc)", r"(?:được[\s_]+tổ[\s_]+chức|tổ[\s_]+chức)"),
+    ("HEADQUARTERS_LOCATION", r"(?:co tru so|dat tru so)", r"(?:có[\s_]+trụ[\s_]+sở|đặt[\s_]+trụ[\s_]+sở)"),
+    ("RESIDENCE_LOCATION", r"(?:sinh song|cu tru|tap trung|song(?=\s+(?:o|tai)))", r"(?:sinh[\s_]+sống|cư[\s_]+trú|tập[\s_]+trung|sống)"),
+]
+PLACE_PREPOSITION = r"(?:ở|tại|trên|trong)"
+PLACE_DESIGNATORS = [
+    "be mat", "ben trong", "canh", "chau", "dau", "dao", "dia diem", "huyen", "khu vuc", "la", "lanh tho",
+    "mien", "nach", "ngon", "nuoc", "phuong", "quan", "quoc gia", "re", "thanh pho", "than", "thi tran", "tinh", "xa",
+]
+PLACE_ORGANIZATIONS = [
+    "benh vien", "cong ty", "dai hoc", "doanh nghiep", "hoc vien", "tap doan", "to chuc", "truong dai hoc",
+    "vien nghien cuu",
+]
+PLACE_STOP = r"\s+(?:vào|từ|kể[\s_]+từ|năm|tháng|ngày|khi|sau|trước|do|vì|nhằm|để)\b"
+PLACE_CLAUSE = r",\s+(?:nơi|mà|vốn|được|đã|sẽ|từng|nhưng|còn|do|vì|khi|trong[\s_]+khi|thủ[\s_]+đô)\b"
+PLACE_QUESTION_TAIL = (
+    r"\b(?:o dau|tai dau|noi nao|dia diem nao|khu vuc nao|quoc gia nao|nuoc nao|tinh nao)\b.*$"
+)
+QUESTION_STOPWORDS = [
+    "ai", "bao", "cai", "cac", "co", "cong", "cua", "duoc", "gi", "la", "mot", "nao", "nay", "nhung", "o",
+    "tai", "the", "thuoc", "tren", "trong", "va",
+]
+CAUSE_MARKER = r"(?:boi\s+vi|do\s+viec|bat\s+nguon\s+tu|xuat\s+phat\s+tu|vi|do|boi)"
+EFFECT_LINK = r"(?:khien|lam\s+cho|dan\s+den|gay\s+ra|nen)"
+CAUSE_FALSE_DO = r"(?:tu|thai|toc|muc|che|cuong)\s+$"
+CAUSE_STOPWORDS = [
+    "ai", "bi", "boi", "cai", "co", "cua", "da", "dang", "do", "duoc", "gi", "khien", "la", "lam", "mot", "nao",
+    "nay", "nhung", "o", "phai", "se", "tai", "the", "thi", "trong", "va", "vi", "voi",
+]
+CAUSE_GROUPS = [
+    ["khinh miet", "khinh thuong", "khinh bi", "coi thuong", "khong vua mat", "cam ghet", "ghet bo", "re rung"],
+    ["roi khoi", "roi", "bo di", "buoc phai roi", "bi duoi", "truc xuat"],
+    ["that bai", "bi danh bai", "thua tran", "thua cuoc"],
+    ["thanh cong", "dat duoc", "chien thang", "hoan thanh"],
+    ["suy giam", "giam", "thap xuong", "mat gia"],
+    ["tang", "gia tang", "phat trien manh", "cao hon"],
+]
+CAUSE_WEAK_PREFIXES = ["cua", "nhu", "voi", "gom"]
+METHOD_BONUS = [
+    ("contrast_relation_pattern", 0.30), ("role_relation_pattern", 0.40), ("cause_clause_pattern", 0.32),
+    ("purpose_clause_pattern", 0.32), ("method_clause_pattern", 0.32), ("description_sentence_pattern", 0.24),
+]
+SUBJECT_PHRASE_NOISE = (
+    r"\b(bao gom nhung gi|gom nhung gi|co nhung gi|duoc chia thanh|duoc chia lam|duoc chia|chia thanh|chia lam|"
+    r"nhu the nao|nhu nao|la gi|la ai|chia|duoc|nao|gi|ai)\b"
+)

@@ -127,7 +127,7 @@ def fb_trend_stream(spark, d):
     folder = f"{checkpoint_folder(spark)}/askweave/stream-{uuid4().hex}"
     schema = table(spark, d, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    rows = feedback_rows(source).withColumn("duplicate_count", F.lit(1))
+    rows = feedback_rows(source).withColumn("duplicate_count", F.lit(1)).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
     trend = feedback_stream.daily_trend(rows, delay="365 days")
     # Complete counts per day replace the batch folder; the last batch holds the answer.
     def save(batch, number):
