@@ -454,3 +454,93 @@ SUBJECT_PHRASE_NOISE = (
     r"\b(bao gom nhung gi|gom nhung gi|co nhung gi|duoc chia thanh|duoc chia lam|duoc chia|chia thanh|chia lam|"
     r"nhu the nao|nhu nao|la gi|la ai|chia|duoc|nao|gi|ai)\b"
 )
+
+# --- fixed values: follow-up questions ---------------------------------------------------------
+
+FOLLOWUP = {
+    "max_followups": 3, "max_internal_candidates": 10, "min_answerability": 0.62, "min_topic": 0.5,
+    "max_context_passages": 12, "duplicate_similarity": 0.72, "surface_similarity": 0.93, "max_probes": 3, "probe_top_k": 5,
+    "w_answerability": 0.45, "w_relevance": 0.25, "w_novelty": 0.2, "w_diversity": 0.1,
+}
+FOLLOWUP_STOPWORDS = [
+    "ai", "bao", "cai", "co", "cua", "duoc", "gi", "la", "nao", "nhung", "o", "tai", "the", "trong", "vao", "ve", "vi", "voi",
+]
+RELATION_EQUIVALENTS = {"ENTITY": "IDENTITY", "DEFINITION": "IDENTITY", "GENERIC_LOCATION": "LOCATION"}
+# relation -> (question type, diversity group, template)
+FOLLOWUP_RELATIONS = {
+    "BIRTH_TIME": ("TIME", "TIME", "{subject} sinh vào thời gian nào?"),
+    "DEATH_TIME": ("TIME", "TIME", "{subject} qua đời vào thời gian nào?"),
+    "EVENT_TIME": ("TIME", "TIME", "{target} vào thời gian nào?"),
+    "BIRTH_LOCATION": ("LOCATION", "LOCATION", "{subject} sinh ở đâu?"),
+    "DEATH_LOCATION": ("LOCATION", "LOCATION", "{subject} qua đời ở đâu?"),
+    "EVENT_LOCATION": ("LOCATION", "LOCATION", "{target} diễn ra ở đâu?"),
+    "OBJECT_LOCATION": ("LOCATION", "LOCATION", "{subject} nằm ở đâu?"),
+    "PROCESS_LOCATION": ("LOCATION", "LOCATION", "{subject} {predicate} ở đâu?"),
+    "CAUSE": ("GENERAL", "CAUSE", "Vì sao {target}?"),
+    "PURPOSE": ("GENERAL", "PURPOSE", "{target} nhằm mục đích gì?"),
+    "CONSEQUENCE": ("GENERAL", "CONSEQUENCE", "{target} dẫn đến kết quả gì?"),
+    "ROLE": ("GENERAL", "ROLE", "{subject} từng giữ những chức vụ hoặc vai trò nào?"),
+    "EVENT": ("ENTITY", "EVENT", "{subject} tham gia hoặc thực hiện những hoạt động nào?"),
+    "ATTRIBUTE": ("NUMBER", "ATTRIBUTE", "{subject} có độ cao bao nhiêu?"),
+    "CONTEXT": ("GENERAL", "CONTEXT", "{subject} diễn ra trong bối cảnh nào?"),
+    "COMPARISON": ("GENERAL", "COMPARISON", "Tài liệu nêu điểm khác biệt nào liên quan đến {subject}?"),
+    "IDENTITY": ("DEFINITION", "IDENTITY", "{subject} là gì?"),
+    "EVIDENCE_DETAIL": ("GENERAL", "DETAIL", "Ngoài nội dung vừa trả lời, tài liệu còn cho biết điều gì về {subject}?"),
+}
+FU_BIRTH = r"\b(?:sinh|chao doi|ra doi)\b"
+FU_DEATH = r"\b(?:mat|qua doi|tu tran)\b"
+FU_EVENT = r"\b(?:dien ra|xay ra|no ra|khoi nghia|cach mang|chien tranh|hoi nghi|phong trao)\b"
+FU_ACTIVITY = r"\b(?:tham gia|lanh dao|chi huy|ky ket|dam phan|sang lap|thanh lap|to chuc|hoat dong)\b"
+FU_ACTIVITY_MORE = r"\b(?:duoc gui|gui den|cu den|tham du|thuc hien)\b"
+FU_OBJECT_PLACE = r"\b(?:nam|toa lac|dat tai|thuoc)\b.{0,70}\b(?:tai|o|mien|tinh|thanh pho|quoc gia|khu vuc)\b"
+FU_OBJECT_PLACE_SURFACE = (
+    r"\b(?:nằm|tọa lạc|đặt tại|thuộc)\b.{0,80}\b(?:tại|ở|miền|tỉnh|thành phố|quốc gia|khu vực)\b|"
+    r"\b(?:toa lac|dat tai|thuoc)\b.{0,80}\b(?:tai|o|mien|tinh|thanh pho|quoc gia|khu vuc)\b"
+)
+FU_CONSEQUENCE = r"\b(?:dan den|gay ra|ket qua la|hau qua)\b"
+FU_CONTEXT = r"\b(?:trong boi canh|boi canh|trong thoi ky|trong giai doan)\b"
+FU_COMPARISON = r"\b(?:khac voi|khac biet|so voi|tuong dong)\b"
+FU_TIMED_ACTION = (
+    r"\b(?:duoc thanh lap|thanh lap|duoc xay dung|xay dung|bat dau|ket thuc|bi bai bo|bai bo|tro thanh|"
+    r"ra mat|phat hien|duoc cong bo|ky ket)\b"
+)
+FU_HEIGHT = r"\b(?:co do cao|do cao(?: la)?|cao(?: la)?)\b.{0,28}\b\d+(?:[,.]\d+)?\s*(?:m|met|km)\b"
+FU_SPATIAL = r"\b(?:sinh ra|moc ra|phat trien|xuat hien|phan bo|sinh song|duoc trong|duoc tim thay)\b.{0,70}\b(?:tai|o)\b"
+FU_SPATIAL_WORDS = [
+    ("duoc tim thay", "được tìm thấy"), ("duoc trong", "được trồng"), ("sinh ra", "sinh ra"), ("moc ra", "mọc ra"),
+    ("phat trien", "phát triển"), ("xuat hien", "xuất hiện"), ("phan bo", "phân bố"), ("sinh song", "sinh sống"),
+]
+FU_DATE_SURFACE = (
+    r"\b(?:ngày|tháng|năm|thế kỷ|thập niên|giai đoạn|thời kỳ)\b|\b(?:1\d{3}|20\d{2})\b|"
+    r"\b(?:ngay|thang|the ky|thap nien|giai doan|thoi ky)\b|\bnam\s+(?:1\d{3}|20\d{2})\b"
+)
+FU_DATE_VALUE = r"\b(?:1\d{3}|20\d{2})\b|\b(?:ngay|thang)\s+\d{1,2}\b|\bthe ky\s+(?:\d+|[ivxlcdm]+)\b|\bthap nien\s+\d+\b"
+FU_DATE_FOLDED = r"(?:\b(?:ngay|thang|nam|the ky|thap nien|giai doan|thoi ky)\b|\b(?:1\d{3}|20\d{2})\b)"
+FU_PLACE_SURFACE = r"\b(?:tại|ở)\s+\w|\b(?:tai|o)\s+\w"
+FU_CAUSE_SURFACE = r"\b(?:bởi vì|vì|do|bởi|nguyên nhân|bắt nguồn từ|xuất phát từ|boi vi|nguyen nhan|bat nguon tu|xuat phat tu)\b"
+FU_PURPOSE_SURFACE = r"\b(?:nhằm|(?<!triệt )để|với mục đích|với mục tiêu|nham|voi muc dich|voi muc tieu)\b(?=\s+\w)"
+FU_EVENT_SUBJECT = r"\b(?:su kien|cach mang|chien tranh|hoi nghi|phong trao|khoi nghia|cuoc chien)\b"
+FU_NOT_PERSON = (
+    r"\b(?:chu nghia|thanh pho|dia diem|phan mem|cong trinh|su kien|cach mang|chien tranh|hoi nghi|phong trao|cuoc chien)\b"
+)
+FU_PERSON_CUE = r"(?:ong|ba|tong thong|thu tuong|chu tich|hoang de|nha vua|dai tuong|tuong)"
+FU_ROLE_NOUN = (
+    r"(?:co van|lanh dao|giao su|nha van|nha viet kich|thu tuong|tong thong|chu tich|bo truong|dai tuong)"
+)
+FU_ROLE_VERB = r"(?:voi tu cach|giu chuc|dam nhiem|duoc bau|duoc bo nhiem|tro thanh|la)"
+FU_PRONOUN = r"\b(?:ong|ba|nguoi nay|nhan vat nay|vi nay)\b"
+FU_LOW_DETAIL = (
+    r"\b(?:duoc nhac den|duoc de cap|de cap den)\b|\bnoi ve\b.{0,45}\b(?:tai lieu|van ban|doan van|cau hoi)\b"
+)
+# relation -> (strength, rule name, predicate word)
+FU_STRENGTH = {
+    "BIRTH_TIME": (0.93, "explicit_birth_time", "sinh"), "BIRTH_LOCATION": (0.88, "explicit_birth_location", "sinh"),
+    "DEATH_TIME": (0.92, "explicit_death_time", "qua đời"), "DEATH_LOCATION": (0.86, "explicit_death_location", "qua đời"),
+    "EVENT_TIME": (0.87, "evidenced_event_time", "thời gian"), "EVENT_LOCATION": (0.84, "evidenced_event_location", "địa điểm"),
+    "OBJECT_LOCATION": (0.86, "evidenced_object_location", "nằm"), "PROCESS_LOCATION": (0.86, "evidenced_spatial_process", "xuất hiện"),
+    "CAUSE": (0.88, "evidenced_cause", "nguyên nhân"), "PURPOSE": (0.83, "evidenced_purpose", "mục đích"),
+    "CONSEQUENCE": (0.84, "evidenced_consequence", "kết quả"), "CONTEXT": (0.77, "evidenced_context", "bối cảnh"),
+    "ROLE": (0.85, "evidenced_role", "vai trò"), "EVENT": (0.81, "evidenced_activity", "hoạt động"),
+    "ATTRIBUTE": (0.90, "evidenced_height", "độ cao"), "COMPARISON": (0.76, "evidenced_comparison", "khác biệt"),
+    "IDENTITY": (0.82, "evidenced_identity", "là"), "EVIDENCE_DETAIL": (0.70, "additional_grounded_fact", "chi tiết"),
+}

@@ -1 +1,74 @@
-QUERIES = {}
+"""Registered queries: related questions and follow-ups."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from askweave.functions import questions as Q
+from askweave.functions import text as T
+from askweave.operators import followups, retrieval
+from askweave.plans.evaluation_queries import candidates
+from askweave.plans.semantics_queries import framed
+from askweave.sources.tables import table
+
+
+def plain_tokens(x):
+    return T.words(F.lower(x), T.WORD)
+
+
+def related_questions(spark, d):
+    """Three related user turns per benchmark item, without items equal to it or already asked."""
+    talk = table(spark, d, "conversations").where("role = 'user'")
+    known = talk.groupBy(F.trim("text").alias("text")).agg(F.min(F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    hits = retrieval.bm25(known, items, 13, "okapi", tokenizer=plain_tokens)
+    # The best neighbour of every third item counts as asked before.
+    before = hits.where("rank = 1 and query_id % 3 = 0").join(known, "doc_id").select("query_id", "text")
+    asked = items.select("query_id", F.col("question").alias("text")).unionByName(before)
+    return retrieval.related_questions(hits, None, known, asked, 3).select(F.col("query_id").alias("item_id"), F.col("doc_id").alias("turn_id"), "rank")
+
+
+def _ranked_rows(spark, d):
+    c = candidates(spark, d)
+    return c.select(F.col("id").alias("question_id"), F.col("candidate_id").alias("ordinal"), F.col("reader_score").alias("answerability"),
+                    F.col("retrieval_score").alias("relevance"), F.col("relation_score").alias("novelty"),
+                    F.concat(F.lit("g"), (F.col("candidate_id") % 3).cast("string")).alias("group"))
+
+
+def followup_rank(spark, d):
+    return followups.rank(_ranked_rows(spark, d)).select("question_id", "ordinal", "ranking_score", "rank")
+
+
+def duplicate_questions(spark, d):
+    talk = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return followups.similar_questions(talk, "id", "text", 0.6)
+
+
+def question_similarity(spark, d):
+    q = framed(spark, d)
+    items = table(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return q.join(items, "id").select("id", F.round(followups.question_similarity(F.col("question"), F.col("text")), 6).alias("similarity"))
+
+
+def _contexts(spark, d):
+    """Each question with a passage about its subject made from the words of the reply."""
+    asked = Q.annotate_questions(framed(spark, d)).select(F.col("id").alias("question_id"), "question", "subject", "relation", "target", "predicate")
+    reply = table(spark, d, "conversations").where("role = 'assistant'").select(
+        (F.col("conv_id") * 1000 + F.col("turn") - 1).alias("question_id"), F.col("conv_id").cast("string").alias("passage_id"),
+        F.lower(F.array_join(F.slice(F.split(T.squeeze(F.col("text")), " "), 1, 3), " ")).alias("w"))
+    body = ("{s} sinh năm 1901 tại thành phố Huế. {s} tham gia phong trào {w} vì lý do riêng. "
+            "{s} được thành lập nhằm nghiên cứu {w}. {s} khác với {w}.")
+    text = F.replace(F.replace(F.lit(body), F.lit("{w}"), F.col("w")), F.lit("{s}"), F.col("subject"))
+    rows = asked.join(reply, "question_id").where("subject is not null").withColumn("context", text)
+    return rows.withColumns({"answer": F.lit("năm 1901"), "relevance": F.lit(1.0), "is_selected": F.lit(True), "position": F.lit(1)})
+
+
+def follow_ups(spark, d):
+    return followups.follow_ups(_contexts(spark, d)).select("question_id", "rank", "text", "followup", "ranking_score")
+
+
+def followup_funnel(spark, d):
+    return followups.funnel(followups.gate(followups.discover(_contexts(spark, d))))
+
+
+QUERIES = {f.__name__: f for f in (related_questions, followup_rank, duplicate_questions, question_similarity, follow_ups, followup_funnel)}
