@@ -12,6 +12,7 @@ from askweave.functions import fixed
 from askweave.functions import text as T
 from askweave.functions.questions import cases, has
 from askweave.operators.validation import add_subject_consistency
+from askweave.session import materialize
 
 CONF = fixed.FOLLOWUP
 
@@ -83,7 +84,7 @@ def discover(contexts: DataFrame) -> DataFrame:
     ``contexts``: ``question_id, question, answer, subject, relation, passage_id,
     context, relevance, is_selected``.
     """
-    rows = contexts.where(F.coalesce(F.col("subject"), F.lit("")) != "").withColumn("_s", T.split_sentences(F.col("context")))
+    rows = materialize(contexts, "followup-contexts").where(F.coalesce(F.col("subject"), F.lit("")) != "").withColumn("_s", T.split_sentences(F.col("context")))
     rows = rows.select("*", F.posexplode_outer("_s").alias("sentence_no", "sentence")).where("sentence is not null").drop("_s")
     rows = add_subject_consistency(rows)
     rows = rows.withColumns({
@@ -103,7 +104,9 @@ def discover(contexts: DataFrame) -> DataFrame:
     level = (
         F.when(mismatch, "NO_SUBJECT_MATCH").when((F.col("subject_status") == "VALID") & (F.col("subject_reason") == "PREVIOUS_SENTENCE_COREFERENCE"), "COREFERENCE_SUBJECT")
         .when(F.col("subject_status") == "VALID", "DIRECT_SUBJECT").otherwise("NO_SUBJECT_MATCH"))
-    rows = rows.withColumn("subject_match", level)
+    # Written tables between the stages keep each plan small; nested conditions
+    # would otherwise be substituted into one another by the optimizer.
+    rows = materialize(rows.withColumn("subject_match", level), "followup-sentences")
     direct, coref = F.col("subject_match") == "DIRECT_SUBJECT", F.col("subject_match") == "COREFERENCE_SUBJECT"
 
     def near(pattern: str, d: int) -> Column:
@@ -136,6 +139,7 @@ def discover(contexts: DataFrame) -> DataFrame:
         "_t_time": F.when(F.col("_event"), F.col("subject")).otherwise(
             F.btrim(F.regexp_replace(clause(fixed.FU_DATE_FOLDED, keep), r"(?iU)\s+(?:vào|từ|đến)\s*$", ""), F.lit(" ,;:-"))),
     })
+    rows = materialize(rows, "followup-facts")
     role = (coref & F.rlike(f, F.lit(rf"(?U){fixed.FU_PRONOUN}.{{0,65}}(?:{fixed.FU_ROLE_VERB}.{{0,30}})?{fixed.FU_ROLE_NOUN}\b"))) | (direct & (
         F.rlike(f, rx(literal, rf".{{0,95}}{fixed.FU_ROLE_VERB}\s+(?:(?:mot|cac|nhung|nguoi)\s+)?{fixed.FU_ROLE_NOUN}\b"))
         | F.rlike(f, rx(rf"\b{fixed.FU_ROLE_NOUN}\b.{{0,20}}", literal)) | F.rlike(f, rx(literal, r".{0,45}\b(?:giu chuc|dam nhiem|duoc bau|duoc bo nhiem)\b"))))
@@ -182,7 +186,8 @@ def discover(contexts: DataFrame) -> DataFrame:
     })
     base = ["question_id", "question", "subject", "relation", "target", "predicate", "passage_id", "sentence", "sentence_no", "position", "relevance",
             "is_selected", "subject_match", "subject_score", "topic"]
-    return rows.select(*[x for x in base if x in rows.columns], F.explode_outer("_options").alias("o")).where("o is not null").select("*", "o.*").drop("o")
+    listed = rows.select(*[x for x in base if x in rows.columns], F.explode_outer("_options").alias("o")).where("o is not null")
+    return materialize(listed.select("*", "o.*").drop("o"), "followup-options")
 
 
 def canonical(relation: Column) -> Column:
@@ -226,13 +231,14 @@ def gate(opportunities: DataFrame, asked: DataFrame | None = None, probe: DataFr
     o = o.withColumn("_k", F.row_number().over(same_sentence)).where("_k = 1")
     order = [F.desc("strength"), F.desc("topic"), F.desc("relevance"), F.col("position"), F.col("sentence_no"), F.col("followup")]
     o = o.withColumns({"ordinal": F.row_number().over(per.orderBy(*order)), "text": followup_text()})
+    o = materialize(o, "followup-ordered")
     similar = question_similarity(F.col("text"), F.col("question"))
     if asked is not None:
         past = o.select("question_id", "ordinal", "text").join(asked.select("question_id", F.col("text").alias("_past")), "question_id")
         worst = past.groupBy("question_id", "ordinal").agg(F.max(question_similarity(F.col("text"), F.col("_past"))).alias("_past_similarity"))
         o = o.join(worst, ["question_id", "ordinal"], "left")
         similar = F.greatest(similar, F.coalesce(F.col("_past_similarity"), F.lit(0.0)))
-    o = o.withColumn("similarity", similar)
+    o = materialize(o.withColumn("similarity", similar), "followup-similarity")
     first = Window.partitionBy("question_id", "_sig").orderBy("ordinal")
     now = T.fold_words(F.coalesce(F.col("target"), F.col("predicate"), F.lit("")))
     then = T.fold_words(goal)

@@ -9,6 +9,7 @@ from askweave.functions import text as T
 from askweave.operators import followups, retrieval
 from askweave.plans.evaluation_queries import candidates
 from askweave.plans.semantics_queries import framed
+from askweave.session import materialize
 from askweave.sources.tables import table
 
 
@@ -53,6 +54,8 @@ def question_similarity(spark, d):
 def _contexts(spark, d):
     """Each question with a passage about its subject made from the words of the reply."""
     asked = Q.annotate_questions(framed(spark, d)).select(F.col("id").alias("question_id"), "question", "subject", "relation", "target", "predicate")
+    # Written before filtering: a filter on a parsed column would pull the whole parser into its condition.
+    asked = materialize(asked, "asked")
     reply = table(spark, d, "conversations").where("role = 'assistant'").select(
         (F.col("conv_id") * 1000 + F.col("turn") - 1).alias("question_id"), F.col("conv_id").cast("string").alias("passage_id"),
         F.lower(F.array_join(F.slice(F.split(T.squeeze(F.col("text")), " "), 1, 3), " ")).alias("w"))
