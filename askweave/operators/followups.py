@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from askweave.functions import fixed
 from askweave.functions import text as T
@@ -22,7 +23,7 @@ def content_words(x: Column) -> Column:
     return F.filter(words, lambda t: (F.length(t) > 1) & ~t.isin(fixed.FOLLOWUP_STOPWORDS))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in zip(left, right)])
 

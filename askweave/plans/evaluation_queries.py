@@ -34,7 +34,7 @@ def candidates(spark, d):
     i, j = F.col("id"), F.col("j")
 
     def score(a, b):
-        return ((i * a + j * b) % 101) / 100.0
+        return ((i * a + j * b) % 101) / 101.0
 
     def flag(a, m):
         return (i + j * a) % m != 0

@@ -104,7 +104,7 @@ _SWEEP_ROWS = """SELECT CAST(is_answerable AS INTEGER) AS y, threshold, CASE WHE
    CASE WHEN score_margin >= threshold THEN f1 ELSE CAST(gold_words = 0 AS DOUBLE) END AS f, CASE WHEN score_margin >= threshold THEN CAST(empty AS INTEGER) ELSE 1 END AS m FROM s, th"""
 _SWEEP = f"WITH {SC}, {_THRESHOLDS}, sw AS " + sweep(_SWEEP_ROWS, "(SELECT 1)")
 
-_SCORE = lambda a, b: f"((id * {a} + j * {b}) % 101) / 100.0"
+_SCORE = lambda a, b: f"((id * {a} + j * {b}) % 101) / 101.0"
 _FLAG = lambda a, m: f"((id + j * {a}) % {m} <> 0)"
 CAND = f"""
   cand AS (SELECT id, id * 10 + j AS candidate_id, is_answerable, gold_answer, array_to_string(w[1 + j:6 + j], ' ') AS text, array_to_string(w[1 + j:7 + j], ' ') AS raw_text,
