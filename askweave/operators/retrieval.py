@@ -242,7 +242,7 @@ LEAD_LIMIT = 1.0 + 0.8 + 2.4
 
 
 def query_arrays(queries: DataFrame, query_id: str, query_text: str, tokenizer=T.tokenize) -> DataFrame:
-    """``query_id, q_tokens, q_terms, grams``: tokens, distinct tokens, and 4- to 2-grams of the tokens."""
+    """``query_id, q_tokens, q_terms, grams_2, grams_3, grams_4``: tokens, distinct tokens, and their n-grams."""
     q = queries.select(F.col(query_id).alias("query_id"), tokenizer(F.col(query_text)).alias("q_tokens"))
     q = q.withColumn("q_terms", F.array_distinct("q_tokens"))
 
@@ -253,7 +253,7 @@ def query_arrays(queries: DataFrame, query_id: str, query_text: str, tokenizer=T
             F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice("q_tokens", i + 1, F.lit(size)), " ")),
         ).otherwise(F.array().cast("array<string>"))
 
-    return q.withColumn("grams", F.concat(grams(4), grams(3), grams(2)))
+    return q.withColumns({f"grams_{n}": grams(n) for n in (2, 3, 4)})
 
 
 def _marked_postings(tok: DataFrame) -> DataFrame:
@@ -357,7 +357,14 @@ def lexical_retrieve(docs: DataFrame, queries: DataFrame, k: int, method: str =
         T.raw_tokens(F.coalesce(F.get(T.split_sentences(F.col("text")), F.lit(0)), F.lit(""))).alias("lead_raw"),
     )
     full = alive.join(bodies, "doc_id").join(F.broadcast(arrays) if small else arrays, "query_id")
-    phrases = F.size(F.filter("grams", lambda g: F.contains(F.col("body"), g)))
+    # A longer phrase can only occur where its first two words do, so each length
+    # tests the positions the shorter one left over.
+    full = full.withColumn("_p2", F.filter(
+        F.transform("grams_2", lambda g, i: F.when(F.contains(F.col("body"), g), i)), lambda i: i.isNotNull()))
+    for n in (3, 4):
+        full = full.withColumn(f"_p{n}", F.filter(f"_p{n - 1}", lambda i: F.coalesce(
+            F.contains(F.col("body"), F.get(F.col(f"grams_{n}"), i)), F.lit(False))))
+    phrases = F.size("_p2") + F.size("_p3") + F.size("_p4")
     full = full.withColumn(
         "_at", F.when(F.col("complete"), find_sequence(T.content_only(F.col("lead_raw")), F.col("q_terms"))).otherwise(-1)
     ).withColumn("_raw_at", F.when(F.col("_at") >= 0, find_sequence(F.col("lead_raw"), F.col("q_terms"))).otherwise(-1))
