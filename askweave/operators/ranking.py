@@ -9,15 +9,14 @@ from askweave.functions import fixed
 
 
 def top_k(scored: DataFrame, k: int, query: str = "query_id", doc: str = "doc_id", score: str = "score",
-          ascending: bool = False, digits: int | None = 6) -> DataFrame:
+          ascending: bool = False) -> DataFrame:
     """Best ``k`` rows per query; ties go to the smaller document id.
 
     The rank filter lets Spark keep only ``k`` rows per query and task before
     the exchange.  Scores are rounded first so that order does not hang on the
     last bits of a sum.
     """
-    if digits is not None:
-        scored = scored.withColumn(score, F.round(score, digits))
+    scored = scored.withColumn(score, F.round(score, 6))
     order = F.col(score).asc() if ascending else F.col(score).desc()
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(order, F.col(doc))))
     return ranked.where(F.col("rank") <= k)

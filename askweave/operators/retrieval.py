@@ -130,11 +130,11 @@ def bm25_over(tok: DataFrame, post: DataFrame, terms: DataFrame, k: int, variant
     pairs = bm25_pairs(post, stats, weights, small, variant)
     base = _base_gain(variant, fixed.BM25_K1)
     if base:
-        pairs = _with_constant_part(tok, weights, pairs, base, k)
+        pairs = _with_constant_part(tok, weights, pairs, base, k, small)
     return ranking.top_k(pairs.where(F.col("score") > 0), k)
 
 
-def _with_constant_part(tok: DataFrame, weights: DataFrame, pairs: DataFrame, base: float, k: int) -> DataFrame:
+def _with_constant_part(tok: DataFrame, weights: DataFrame, pairs: DataFrame, base: float, k: int, small: bool) -> DataFrame:
     """Variants that credit every document for every known term.
 
     Matched documents always outrank unmatched ones, so unmatched documents can
@@ -142,13 +142,13 @@ def _with_constant_part(tok: DataFrame, weights: DataFrame, pairs: DataFrame, ba
     """
     constant = weights.groupBy("query_id").agg((F.sum("weight") * base).alias("constant"))
     smallest = [r["doc_id"] for r in tok.select("doc_id").orderBy("doc_id").limit(k).collect()]
-    fill = constant.select("query_id", F.explode(F.lit(smallest)).alias("doc_id"), F.lit(0.0).alias("score"))
-    # A filler for a matched document adds nothing: the maximum keeps the match.
-    best = ranking.top_k(pairs, k, digits=None).select("query_id", "doc_id", "score")
-    merged = best.unionByName(fill).groupBy("query_id", "doc_id").agg(F.max("score").alias("gained"))
-    return merged.join(constant, "query_id").select(
-        "query_id", "doc_id", (F.col("gained") + F.col("constant")).alias("score")
+    full = pairs.join(F.broadcast(constant) if small else constant, "query_id").select(
+        "query_id", "doc_id", (F.col("score") + F.col("constant")).alias("score")
     )
+    fill = constant.select("query_id", F.explode(F.lit(smallest)).alias("doc_id"), F.round("constant", 6).alias("score"))
+    # A filler for a matched document adds nothing: the maximum keeps the match.
+    best = ranking.top_k(full, k).select("query_id", "doc_id", "score")
+    return best.unionByName(fill).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
 
 
 # --- cosine TF-IDF ---------------------------------------------------------------
