@@ -68,7 +68,7 @@ def _cut(sums: DataFrame, part: str) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with ``_size``, ``_source_size``, ``_target`` and ``_copies``.
+    """``(row, size, source_size, target, copies)`` for each row of ``docs``; ``row`` holds its columns, whatever their names.
 
     A null text has size 0; null is a source of its own.  Rows equal in id and
     text share one random draw, so repeated rows are taken alike; equal ranks are
@@ -112,10 +112,9 @@ def _apply(docs: DataFrame, ends: DataFrame, grade: Column, draw: Column, most:
     rows = _copies(rows.join(ends, "key"), most)
     taken = (F.col("r") < F.col("cut_r")) | ((F.col("r") == F.col("cut_r")) & (F.col("draw") <= F.col("cut_draw")))
     copies = (F.col("certain") + F.when(F.coalesce(taken, F.lit(False)), 1).otherwise(0)).cast("int")
-    return rows.select("row.*", F.col("z").alias("_size"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), copies.alias("_copies"))
+    return rows.select("row", F.col("z").alias("size"), "source_size", "target", copies.alias("copies"))
 
 
 def take(mixed: DataFrame) -> DataFrame:
     """The mix itself: each row as often as it has copies."""
-    columns = [c for c in mixed.columns if c not in ("_size", "_source_size", "_target", "_copies")]
-    return mixed.where("_copies > 0").withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns)
+    return mixed.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

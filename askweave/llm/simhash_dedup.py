@@ -23,14 +23,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import ceil, log2
+from math import ceil, comb, log2
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, LongType
 
 from askweave.llm.common import bounded_batches, hot_join, materialize
 from askweave.llm.graph import components
@@ -38,6 +38,13 @@ from askweave.llm.graph import components
 SHINGLE = 4
 MAX_BITS = 4
 SEED = 42
+#: The corpus rule: five-word shingles with a similarity of about 0.8 or more differ in
+#: at most so many of 256 bits (a similarity of 0.8 is 39 bits on average).
+CHECK_SHINGLE = 5
+CHECK_BITS = 48
+CHECKS = ["c0", "c1", "c2", "c3"]
+#: Bits in which the word SimHashes of such texts may differ.
+WORD_BITS = 6
 #: Reference fingerprints of the distance table: hashes of their numbers.
 PIVOTS = tuple(xxhash.xxh64_intdigest(str(i).encode(), 7) for i in range(12))
 #: Rows that one meeting holds at most; larger ones are split into a grid of such cells.
@@ -46,37 +53,56 @@ CELL_ROWS = 4096
 PROBE = 16
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash of a text as a signed integer; a text without words has 0."""
-    words = (text or "").encode().lower().split()
-    n = len(words)
-    if n == 0:
-        return 0
-    joined = b" ".join(words)
+def _shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 of each run of ``shingle`` words; of the whole sequence where there are fewer."""
+    joined, n = b" ".join(words), len(words)
     if n <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, n)
-        ends = np.cumsum(sizes + 1) - 1
-        starts = (ends - sizes)[: n - shingle + 1].tolist()
-        hash_of = xxhash.xxh64_intdigest
-        hashes = [hash_of(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], "<u8")
+    sizes = np.fromiter(map(len, words), np.int64, n)
+    ends = np.cumsum(sizes + 1) - 1
+    starts = (ends - sizes)[: n - shingle + 1].tolist()
+    hash_of = xxhash.xxh64_intdigest
+    return np.array([hash_of(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], "<u8")
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have, as a signed integer."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 16384):
-        part = np.array(hashes[at : at + 16384], dtype="<u8")
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        counts += np.unpackbits(hashes[at : at + 16384].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit SimHash of a text as a signed integer; a text without words has 0."""
+    words = (text or "").encode().lower().split()
+    return _majority(_shingle_hashes(words, shingle)) if words else 0
+
+
+def sketch(text: str | None) -> list[int]:
+    """The SimHash of a text's words, then 256 bits of its five-word shingles as four numbers."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return [0] * 5
+    hashes = _shingle_hashes(words, CHECK_SHINGLE)
+    mixed = [(hashes ^ (hashes >> np.uint64(31))) * np.uint64(m) for m in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
+    return [_majority(_shingle_hashes(words, 1))] + [_majority(x ^ (x >> np.uint64(29))) for x in mixed]
+
+
 @F.pandas_udf(LongType())
 def simhash(texts: pd.Series) -> pd.Series:
     return pd.Series([fingerprint(x) for x in texts], dtype="int64")
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def sketches(texts: pd.Series) -> pd.Series:
+    return pd.Series([sketch(x) for x in texts])
+
+
 def block_count(rows: int, max_bits: int = MAX_BITS) -> int:
-    """Blocks a fingerprint is cut into: so many that a key has about as many values as there are rows."""
+    """Blocks a fingerprint is cut into: so many that few hundred rows share the value of a key on average."""
     blocks = max_bits + 2
-    while blocks < 16 and 64 * (blocks - max_bits) // blocks < log2(max(rows, 2)) - 2:
+    while blocks < 16 and 64 * (blocks - max_bits) // blocks < log2(max(rows, 2)) - 8:
         blocks += 1
     return blocks
 
@@ -96,8 +122,12 @@ def _packed(k: int, chosen: tuple[int, ...], part: list[Column], cuts: list[int]
     return out
 
 
-def forest(key: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest among rows of equal ``key``; rows come sorted by key and first coordinate."""
+def forest(key: np.ndarray, fp: np.ndarray, max_bits: int, checks: np.ndarray | None = None, check_bits: int = CHECK_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest among rows of equal ``key``; rows come sorted by key and first coordinate.
+
+    ``checks`` holds the numbers of a longer fingerprint of each row; links must
+    then agree in all but ``check_bits`` of its bits as well.
+    """
     n = len(key)
     table = [np.bitwise_count(fp ^ np.uint64(p)).astype(np.int16) for p in PIVOTS]
     root = np.arange(n)
@@ -109,14 +139,17 @@ def forest(key: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndarray,
         right = left + shift
         near = (key[left] == key[right]) & (table[0][right] - table[0][left] <= max_bits)
         left, right = left[near], right[near]
-        a, b = left, right
+        apart = root[left] != root[right]
+        a, b = left[apart], right[apart]
         for column in table[1:]:
             ok = np.abs(column[a] - column[b]) <= max_bits
             a, b = a[ok], b[ok]
         ok = np.bitwise_count(fp[a] ^ fp[b]) <= max_bits
         a, b = a[ok], b[ok]
-        apart = root[a] != root[b]
-        for x, y in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
+        if checks is not None and len(a):
+            ok = np.bitwise_count(checks[a] ^ checks[b]).sum(1, dtype=np.int64) <= check_bits
+            a, b = a[ok], b[ok]
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
             u, v = x, y
             while root[u] != u:
                 u = root[u]
@@ -126,56 +159,75 @@ def forest(key: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndarray,
                 root[max(u, v)] = min(u, v)
                 out_a.append(x)
                 out_b.append(y)
-        if apart.any():
+        if len(a):
             while not np.array_equal(up := root[root], root):
                 root = up
         shift += 1
     return np.array(out_a, int), np.array(out_b, int)
 
 
-def _meetings(max_bits: int):
+def _meetings(max_bits: int, check_bits: int | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[pd.DataFrame] = []
+        size = 0
 
         def link(rows: pd.DataFrame) -> pd.DataFrame:
-            key, fp = rows["cell"].to_numpy(), rows["fp"].to_numpy().view(np.uint64)
+            key = rows["cell"].to_numpy()
             same = key[1:] == key[:-1]
-            many = np.append(same, False) | np.insert(same, 0, False)
-            key, fp = key[many], fp[many]
-            a, b = forest(key, fp, max_bits) if len(key) else (np.array([], int), np.array([], int))
-            return pd.DataFrame({"a": fp[a].view(np.int64), "b": fp[b].view(np.int64)})
+            rows = rows[np.append(same, False) | np.insert(same, 0, False)]
+            node, fp = rows["node"].to_numpy(), rows["fp"].to_numpy().view(np.uint64)
+            a = b = np.array([], int)
+            if len(rows):
+                checks = None if check_bits is None else rows[CHECKS].to_numpy().view(np.uint64)
+                a, b = forest(rows["cell"].to_numpy(), fp, max_bits, checks, check_bits or 0)
+            return pd.DataFrame({"a": node[a], "b": node[b]})
 
         for batch in batches:
-            if kept and len(batch) and batch["cell"].iloc[0] != kept[-1]["cell"].iloc[-1] and sum(map(len, kept)) >= 65536:
-                yield link(pd.concat(kept))
-                kept = []
             kept.append(batch)
-            if sum(map(len, kept)) >= 131072:  # what follows the last full meeting stays for the next batches
+            size += len(batch)
+            if size >= 65536:  # what follows the last full meeting stays for the next batches
                 rows = pd.concat(kept)
                 start = int(np.searchsorted(rows["cell"].to_numpy(), rows["cell"].iloc[-1]))
                 if start:
                     yield link(rows.iloc[:start])
-                kept = [rows.iloc[start:]]
+                kept, size = [rows.iloc[start:]], 0
         if kept:
             yield link(pd.concat(kept))
 
     return run
 
 
-def links(nodes: DataFrame, rows: int, max_bits: int = MAX_BITS, blocks: int | None = None, cell_rows: int = CELL_ROWS, probe: int = PROBE) -> DataFrame:
-    """A spanning forest ``(a, b)`` of all fingerprint pairs of ``nodes(fp)`` within ``max_bits`` bits."""
+def links(nodes: DataFrame, rows: int, max_bits: int = MAX_BITS, check_bits: int | None = None, blocks: int | None = None, cell_rows: int = CELL_ROWS, probe: int = PROBE) -> DataFrame:
+    """A spanning forest ``(a, b)`` of all linked pairs of ``nodes(node, fp)``, or ``nodes(node, fp, *CHECKS)``."""
     blocks = blocks or block_count(rows, max_bits)
-    met = nodes.select("fp", F.explode(meeting_keys(F.col("fp"), blocks, max_bits)).alias("key"))
-    probed = nodes.where(F.pmod(F.xxhash64("fp"), F.lit(probe)) == 0).select(F.explode(meeting_keys(F.col("fp"), blocks, max_bits)).alias("key"))
+    carried = ["node", "fp"] + CHECKS * (check_bits is not None)
+    met = nodes.select(*carried, F.explode(meeting_keys(F.col("fp"), blocks, max_bits)).alias("key"))
+    probed = nodes.where(F.pmod(F.xxhash64("node"), F.lit(probe)) == 0).select(F.explode(meeting_keys(F.col("fp"), blocks, max_bits)).alias("key"))
     large = probed.groupBy("key").count().where(F.col("count") * probe > cell_rows)
     large = materialize(large.select("key", F.ceil(F.col("count") * 2 * probe / cell_rows).cast("int").alias("chunks")), "simhash-large")
-    met = met.join(large, "key", "left").withColumn("chunk", F.when(F.col("chunks").isNotNull(), F.pmod(F.xxhash64(F.lit(1), "fp"), F.col("chunks"))).cast("int"))
+    met = met.join(large, "key", "left").withColumn("chunk", F.when(F.col("chunks").isNotNull(), F.pmod(F.xxhash64(F.lit(1), "node"), F.col("chunks"))).cast("int"))
     cells = F.when(F.col("chunk").isNull(), F.array(F.col("key"))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.xxhash64(F.lit(2), F.col("key"), F.least(x, F.col("chunk")), F.greatest(x, F.col("chunk")))))
-    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(rows * 15 / 1_000_000))
-    met = met.select("fp", F.explode(cells).alias("cell")).repartition(parts, "cell")
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(rows * comb(blocks, max_bits) / 1_000_000))
+    met = met.select(*carried, F.explode(cells).alias("cell")).repartition(parts, "cell")
     first = F.bit_count(F.col("fp").bitwiseXOR(F.lit(int(np.uint64(PIVOTS[0]).view(np.int64)))))
-    return met.sortWithinPartitions("cell", first).mapInPandas(_meetings(max_bits), "a long, b long")
+    return met.sortWithinPartitions("cell", first).mapInPandas(_meetings(max_bits, check_bits), "a long, b long")
+
+
+def _grouped(prints: DataFrame, max_bits: int, check_bits: int | None) -> tuple[DataFrame, int]:
+    """``(node, least, n)`` for ``prints(doc_id, doc_key, node, fp[, *CHECKS])``: the first row of each node's component."""
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "doc_key")
+    carried = [F.first(c).alias(c) for c in ("fp", *CHECKS) if c in prints.columns]
+    groups = materialize(prints.groupBy("node").agg(F.min(place).alias("least"), F.count("*").alias("n"), *carried), "simhash-groups")
+    size = groups.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
+    star = components(links(groups.drop("least", "n"), size["rows"], max_bits, check_bits), "simhash").withColumnRenamed("node", "member")
+    rooted = groups.select("node", "least", "n").join(star, F.col("node") == F.col("member"), "left").withColumn("root", F.coalesce("root", "node")).drop("member")
+    first = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    return rooted.join(first, "root").select("node", F.col("first").alias("least"), "n"), size["total"]
+
+
+def _key(id_col: str, text_col: str):
+    return F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col))
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,12 +240,25 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "do
     rows give repeated results.  An empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
-    prints = materialize(docs.select(F.col(id_col).alias("doc_id"), simhash(F.col(text_col)).alias("fp")), "simhash-prints")
-    groups = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-groups")
-    size = groups.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
-    star = components(links(groups.select("fp"), size["rows"], max_bits), "simhash")
-    rooted = groups.join(star.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id", "n")
-    out = hot_join(prints, named, "fp", "n", size["total"], F.col("doc_id"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    prints = docs.select(F.col(id_col).alias("doc_id"), _key(id_col, text_col).alias("doc_key"), simhash(F.col(text_col)).alias("fp"))
+    prints = materialize(prints.withColumn("node", F.col("fp")), "simhash-prints")
+    named, total = _grouped(prints, max_bits, None)
+    out = hot_join(prints, named, "node", "n", total, F.struct("doc_id", "doc_key"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least.doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, max_bits: int = WORD_BITS, check_bits: int = CHECK_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near copies: that of the smallest id, null last.
+
+    Near copies have a similarity of about 0.8 or more in five-word shingles.
+    SimHashes of their words, within ``max_bits`` bits, bring them together; 256
+    bits of their shingles verify them.  Rows equal in id and text are one row;
+    null and blank texts are copies of each other.
+    """
+    bounded_batches(docs.sparkSession)
+    prints = docs.select(F.col(id_col).alias("doc_id"), _key(id_col, text_col).alias("doc_key"), sketches(F.col(text_col)).alias("bits"))
+    prints = prints.select("doc_id", "doc_key", F.xxhash64("bits").alias("node"), F.get("bits", 0).alias("fp"), *[F.get("bits", k + 1).alias(c) for k, c in enumerate(CHECKS)])
+    named, _ = _grouped(materialize(prints, "simhash-sketches"), max_bits, check_bits)
+    stay = materialize(named.select(F.col("least.doc_key").alias("_stays")).distinct(), "simhash-stay")
+    rows = docs.withColumn("_doc_key", _key(id_col, text_col))
+    return rows.join(stay, F.col("_doc_key") == F.col("_stays"), "left_semi").dropDuplicates(["_doc_key"]).drop("_doc_key")

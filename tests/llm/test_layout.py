@@ -47,23 +47,23 @@ def test_mix_against_targets(spark):
 
 def test_mix_odd_rows(spark):
     rows = [(i, "a b c", "s1", 1) for i in range(40)] + [(100, None, None, 1), (101, "", None, 2), (None, "x " * 500, None, 3), (102, "q w", "Z", 1), (102, "q w", "Z", 1), (103, "", "empty", 0)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _size int").withColumnRenamed("_size", "z")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int").withColumn("row", F.lit(1))
     got = mixing.mix(docs).collect()
-    assert len(got) == len(rows) and {r["_copies"] for r in got} <= {0, 1, 2}
+    assert len(got) == len(rows) and {r["copies"] for r in got} <= {0, 1, 2}
     sizes = Counter()
     for _, text, source, _ in rows:
         sizes[source] += len((text or "").split())
     want = targets_by_hand(sizes)
-    assert {r["source"]: round(r["_target"], 6) for r in got} == {s: round(t, 6) for s, t in want.items()}
-    assert len({r["_copies"] for r in got if r["doc_id"] == 102}) == 1
+    assert {r["row"]["source"]: round(r["target"], 6) for r in got} == {s: round(t, 6) for s, t in want.items()}
+    assert len({r["copies"] for r in got if r["row"]["doc_id"] == 102}) == 1
     taken = mixing.take(mixing.mix(docs))
-    assert taken.columns == docs.columns and taken.count() == sum(r["_copies"] for r in got)
+    assert taken.columns == docs.columns and taken.count() == sum(r["copies"] for r in got)
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
 def test_longer_documents_are_likelier(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "a b c d").otherwise(F.repeat(F.lit("w "), 200)).alias("text"), F.lit("s").alias("source"))
-    rows = mixing.mix(docs, share=0.5).groupBy((F.col("doc_id") % 2).alias("odd")).agg(F.avg("_copies").alias("c")).collect()
+    rows = mixing.mix(docs, share=0.5).groupBy((F.col("row.doc_id") % 2).alias("odd")).agg(F.avg("copies").alias("c")).collect()
     mean = {r["odd"]: r["c"] for r in rows}
     assert 0.1 < mean[0] < mean[1] < 0.7
 

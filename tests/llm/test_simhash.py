@@ -61,7 +61,7 @@ def test_links_match_all_pairs_also_in_split_meetings(spark):
     prints = {s ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(0, 7))) for s in seeds for _ in range(12)}
     prints = sorted(np.array(sorted(prints), dtype=np.uint64).view(np.int64).tolist())
     want = plain_components([p & (2**64 - 1) for p in prints])
-    nodes = spark.createDataFrame([(p,) for p in prints], "fp long")
+    nodes = spark.createDataFrame([(p, p) for p in prints], "node long, fp long")
     for extra in ({}, {"cell_rows": 6, "probe": 1}, {"blocks": 8}):
         got = {r["node"]: r["root"] for r in components(S.links(nodes, len(prints), **extra), "test").collect()}
         assert [got.get(p, p) for p in prints] == [min(q for q, w in zip(prints, want) if w == k) for k in want], extra
@@ -94,3 +94,38 @@ def test_odd_rows(spark):
 @pytest.mark.parametrize("text,want", [("Ab Cd", "ab cd"), ("É É", "É É")])
 def test_lower_case_is_ascii_only(text, want):
     assert S.fingerprint(text) & (2**64 - 1) == xxhash.xxh64_intdigest(want.encode(), 42)
+
+
+def five(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def test_one_of_each_against_exact_similarity(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    texts, group = [], []
+    for g in range(60):
+        base = [rng.choice(words) for _ in range(rng.choice([60, 200, 400]))]
+        for _ in range(rng.choice([1, 1, 3, 6])):
+            copy = list(base)
+            for _ in range(rng.randrange(0, max(1, len(base) // 80) + 1)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+            group.append(g)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = {r["doc_id"] for r in S.one_of_each(docs).collect()}
+    firsts = {min(i for i, g in enumerate(group) if g == k) for k in set(group)}
+    assert firsts <= kept, "clean documents stay"
+    extra = len(kept - firsts)
+    assert extra <= 0.05 * (len(texts) - len(firsts)), extra
+
+
+def test_one_of_each_odd_rows(spark):
+    long = " ".join(f"w{i}" for i in range(40000))
+    rows = [(2, None), (1, ""), (3, "a b"), (3, "a b"), (None, "q r s"), (None, "q r s"), (None, long), (4, long + " x"), (5, "other words here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("clash")).withColumn("bits", F.lit(1))
+    got = S.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted((str(r["doc_id"]), (r["text"] or "")[:3]) for r in got.collect()) == [("1", ""), ("3", "a b"), ("4", "w0 "), ("5", "oth"), ("None", "q r")]
+    assert S.one_of_each(docs.limit(0)).count() == 0
