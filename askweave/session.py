@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def build_session(name: str = "askweave", master: str | None = None, **conf: str) -> SparkSession:
@@ -28,44 +32,76 @@ def build_session(name: str = "askweave", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows.
+def _width(df: DataFrame, name: str) -> Column:
+    """Bytes of a column's value: of its text, its fixed width, or its JSON form."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(name), F.lit(0)) + 8
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0)) + 8
+    return F.lit(8)
 
-    The probe stops at ``max_rows + 1`` rows, so it is cheap for small and for
-    huge inputs alike.  It decides between a broadcast and a shuffled join.
+
+def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` is within both bounds, by one distributed sum over its rows and their bytes.
+
+    It decides between a broadcast and a shuffled join; no rows leave their tasks.
     """
-    return df.limit(max_rows + 1).count() <= max_rows
+    width = sum((_width(df, c) for c in df.columns), F.lit(8))
+    size = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("bytes")).first()
+    return size["rows"] <= max_rows and size["bytes"] <= max_bytes
 
 
-def broadcast_if_fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if fits(df, max_rows) else df
+def broadcast_if_fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    return F.broadcast(df) if fits(df, max_rows, max_bytes) else df
 
 
 _own_folder: dict[str, str] = {}
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one of our own only where none is set."""
+    """The shared folder the cluster names.
+
+    Only a local session may do without: it gets a folder of its own, removed at
+    exit.  Elsewhere a machine's own folder would hide rows from other machines.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folder:
         _own_folder[app] = tempfile.mkdtemp(prefix="askweave-")
+        atexit.register(shutil.rmtree, _own_folder[app], ignore_errors=True)
     return _own_folder[app]
 
 
+def _app_folder(spark: SparkSession) -> str:
+    return f"{checkpoint_folder(spark)}/askweave/{spark.sparkContext.applicationId}"
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{_app_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it back.
+    """Write ``df`` to the shared folder and read it back.
 
-    Used for small aggregates several later steps need: they are computed once,
-    their row count is known from file metadata, and a lost executor costs a
-    re-read instead of a recomputation.
+    Used for results several later steps need: they are computed once, their row
+    count is known from file metadata, and a lost executor costs a re-read instead
+    of a recomputation.  ``release`` removes what an application has written.
     """
-    spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/askweave/{label}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables this application has stored; frames that read them end with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_app_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def default_cpus() -> str:
