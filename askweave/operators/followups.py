@@ -42,10 +42,15 @@ def similar_questions(df: DataFrame, key: str, text: str, threshold: float) -> D
 
     Only Jaccard candidates are formed: a prefix filter on the rarest words of each
     question (long words first) keeps the join selective and loses no pair at or
-    above ``threshold``.
+    above ``threshold``.  Questions without content words have no Jaccard and pair
+    with equal ones only; blank questions pair with none.
     """
     words = F.array_sort(F.transform(F.array_distinct(content_words(F.col(text))), lambda w: F.struct((-F.length(w)).alias("o"), w.alias("w"))))
-    unique = df.groupBy(T.fold_words(F.col(text)).alias("_norm")).agg(F.min(F.col(key)).alias(key), F.min(text).alias(text))
+    normed = df.select(F.col(key).alias("_key"), T.fold_words(F.col(text)).alias("_norm"), F.col(text).alias("_text"))
+    unique = normed.groupBy("_norm").agg(F.min("_key").alias(key), F.min("_text").alias(text))
+    # Equal questions pair with their smallest id only; a group of copies stays linear.
+    equal = normed.where("_norm <> ''").join(unique.where("_norm <> ''").select("_norm", F.col(key).alias("left")), "_norm").where(F.col("_key") != F.col("left")).select(
+        "left", F.col("_key").alias("right"), F.lit(1.0).alias("similarity"))
     listed = unique.select(key, F.transform(words, lambda x: x["w"]).alias("words")).withColumn("n", F.size("words")).where("n > 0")
     prefix = F.slice("words", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
     p = listed.select(key, "n", F.explode_outer(prefix).alias("w")).where("w is not null")
@@ -55,7 +60,8 @@ def similar_questions(df: DataFrame, key: str, text: str, threshold: float) -> D
     j = pairs.join(listed.select(F.col(key).alias("left"), F.col("words").alias("lw")), "left").join(
         listed.select(F.col(key).alias("right"), F.col("words").alias("rw")), "right")
     common = F.size(F.array_intersect("lw", "rw"))
-    return j.select("left", "right", F.round(common / (F.size("lw") + F.size("rw") - common), 6).alias("similarity")).where(F.col("similarity") >= threshold)
+    near = j.select("left", "right", F.round(common / (F.size("lw") + F.size("rw") - common), 6).alias("similarity")).where(F.col("similarity") >= threshold)
+    return near.unionByName(equal)
 
 
 def context_passages(hits: DataFrame, selected: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from askweave.session import materialize
+from askweave.session import broadcast_if_fits, materialize
 
 
 def quantiles(df: DataFrame, value: str, ratios: list[float], by: list[str] | None = None,
@@ -36,8 +36,9 @@ def quantiles(df: DataFrame, value: str, ratios: list[float], by: list[str] | No
         "_before": F.sum("_size").over(earlier) - F.col("_size"), "_n": F.sum("_size").over(whole)
     }).drop("_size")
     keys = [*by, "_b"]
+    sizes = materialize(sizes, "bucket-sizes")  # groups times buckets: broadcast only within the bounds
     cond = [placed[k].eqNullSafe(sizes[k]) for k in keys]
-    joined = placed.join(F.broadcast(sizes), cond, "inner").select(placed["*"], sizes["_before"], sizes["_n"])
+    joined = placed.join(broadcast_if_fits(sizes), cond, "inner").select(placed["*"], sizes["_before"], sizes["_n"])
     inside = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     last = F.col("_before") + F.sum("_c").over(inside) - 1
     joined = joined.withColumn("_last", last).withColumn("_first", F.col("_last") - F.col("_c") + 1)

@@ -60,12 +60,17 @@ def windows(df: DataFrame, tokens: str, question_tokens: Column, max_length: int
     """Overlapping windows ``[window_start, window_end)`` over a token array.
 
     A window holds ``max_length - question - 4`` tokens; the next one starts
-    ``stride`` tokens before its end.
+    ``stride`` tokens before its end.  No row is left out: an empty or null token
+    array has one empty window, and a question that leaves no room, or no progress
+    where a second window is needed, is an error.
     """
     room = (F.lit(max_length) - question_tokens - 4).cast("int")
-    df = df.withColumns({"_n": F.size(tokens), "_room": room}).where((F.col("_room") > stride) & (F.col("_n") > 0))
-    count = F.when(F.col("_n") <= F.col("_room"), 1).otherwise(
-        1 + F.ceil((F.col("_n") - F.col("_room")) / (F.col("_room") - stride)).cast("int"))
+    df = df.withColumns({"_n": F.coalesce(F.size(tokens), F.lit(0)), "_room": room}).withColumn("_n", F.greatest("_n", F.lit(0)))
+    count = (
+        F.when(F.col("_room") <= 0, F.raise_error(F.lit("the question leaves no room for a window")).cast("int"))
+        .when(F.col("_n") <= F.col("_room"), 1)
+        .when(F.col("_room") <= stride, F.raise_error(F.lit("the stride leaves no progress between windows")).cast("int"))
+        .otherwise(1 + F.ceil((F.col("_n") - F.col("_room")) / (F.col("_room") - stride)).cast("int")))
     rows = df.select(*keys, "_n", "_room", F.explode(F.sequence(F.lit(0), count - 1)).alias("window"))
     start = F.col("window") * (F.col("_room") - stride)
     return rows.select(*keys, "window", start.alias("window_start"), F.least(start + F.col("_room"), F.col("_n")).alias("window_end"))

@@ -18,11 +18,13 @@ def predictions(spark, d):
     reply = talk.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("context"))
     rows = asked.join(reply, ["conv_id", "turn"]).withColumn("w", F.split(T.squeeze(F.col("context")), " "))
     conv, turn = F.col("conv_id"), F.col("turn")
-    span = F.array_join(F.slice("w", (1 + conv % 3).cast("int"), (5 + conv % 2).cast("int")), " ")
+    # Spans start anywhere in the reply, so that whole replies matter.
+    first = (conv + turn) % F.size("w")
+    span = F.array_join(F.slice("w", (1 + (first + conv % 3) % F.size("w")).cast("int"), (5 + conv % 2).cast("int")), " ")
     return rows.select(
         (conv * 1000 + turn).alias("id"), "question", "context",
         (conv % 5 != 0).alias("is_answerable"),
-        F.when(conv % 5 != 0, F.array_join(F.slice("w", 1, 6), " ")).otherwise("").alias("gold_answer"),
+        F.when(conv % 5 != 0, F.array_join(F.slice("w", (1 + first).cast("int"), F.lit(6)), " ")).otherwise("").alias("gold_answer"),
         F.when((conv + turn) % 7 == 0, "").otherwise(span).alias("predicted_answer"),
         (((F.length("context") * 7 + turn) % 83 - 41) / 4.0).alias("score_margin"),
     )
@@ -40,11 +42,12 @@ def candidates(spark, d):
         return (i + j * a) % m != 0
 
     words = F.split(T.squeeze(F.col("context")), " ")
+    first = (1 + (i + j) % F.size(words)).cast("int")
     return rows.select(
         "id", (i * 10 + j).alias("candidate_id"),
-        F.array_join(F.slice(words, (1 + j).cast("int"), F.lit(6)), " ").alias("text"),
-        F.array_join(F.slice(words, (1 + j).cast("int"), F.lit(7)), " ").alias("raw_text"),
-        F.when(j == 2, "").otherwise(F.array_join(F.slice(words, (1 + j).cast("int"), F.lit(5)), " ")).alias("display_text"),
+        F.array_join(F.slice(words, first, F.lit(6)), " ").alias("text"),
+        F.array_join(F.slice(words, first, F.lit(7)), " ").alias("raw_text"),
+        F.when(j == 2, "").otherwise(F.array_join(F.slice(words, first, F.lit(5)), " ")).alias("display_text"),
         F.when(j == 3, "phrase_fallback").otherwise("neural_span").alias("method"),
         score(31, 17).alias("reader_score"), score(7, 13).alias("retrieval_score"), score(3, 41).alias("answer_type_score"),
         score(11, 5).alias("relation_score"), score(19, 29).alias("boundary_score"), score(23, 3).alias("completeness_score"),
@@ -90,9 +93,8 @@ def gold_documents(spark, d):
 def near_documents(spark, d):
     """Best other text per document by word overlap, over the distinct documents."""
     docs = table(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
-    half = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("context"))
-    other = docs.where("doc_id % 2 = 1").select("doc_id", "text")
-    return gold.best_overlap(half, other, 0.8).select(F.col("query_id").alias("left_id"), F.col("doc_id").alias("right_id"), "overlap")
+    asking = docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("context"))
+    return gold.best_overlap(asking, docs.select("doc_id", "text"), 0.8, others_only=True).select(F.col("query_id").alias("left_id"), F.col("doc_id").alias("right_id"), "overlap")
 
 
 def _hits(spark, d, k=50):
@@ -218,7 +220,7 @@ def _sampling_rows(spark, d):
 
 
 def quota_sample(spark, d):
-    return sampling.holdout(_sampling_rows(spark, d), QUOTAS, "seed-1", strict=False).select("id", "bucket", "stratum", "order_key")
+    return sampling.holdout(_sampling_rows(spark, d), QUOTAS, "seed-1").select("id", "bucket", "stratum", "order_key")
 
 
 def round_robin(spark, d):

@@ -52,13 +52,13 @@ def question_similarity(spark, d):
 
 
 def _contexts(spark, d):
-    """Each question with a passage about its subject made from the words of the reply."""
+    """Each question with a passage about its subject that holds the whole reply."""
     asked = Q.annotate_questions(framed(spark, d)).select(F.col("id").alias("question_id"), "question", "subject", "relation", "target", "predicate")
     # Written before filtering: a filter on a parsed column would pull the whole parser into its condition.
     asked = materialize(asked, "asked")
     reply = table(spark, d, "conversations").where("role = 'assistant'").select(
         (F.col("conv_id") * 1000 + F.col("turn") - 1).alias("question_id"), F.col("conv_id").cast("string").alias("passage_id"),
-        F.lower(F.array_join(F.slice(F.split(T.squeeze(F.col("text")), " "), 1, 3), " ")).alias("w"))
+        F.lower(T.squeeze(F.col("text"))).alias("w"))
     body = ("{s} sinh năm 1901 tại thành phố Huế. {s} tham gia phong trào {w} vì lý do riêng. "
             "{s} được thành lập nhằm nghiên cứu {w}. {s} khác với {w}.")
     text = F.replace(F.replace(F.lit(body), F.lit("{w}"), F.col("w")), F.lit("{s}"), F.col("subject"))

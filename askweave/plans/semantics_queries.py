@@ -24,9 +24,9 @@ RELATIONS = [p[0] for p in fixed.RELATION_POLICIES]
 
 
 def framed(spark, d):
-    """Questions made of a frame and the first three words of each user turn."""
+    """Questions made of a frame around each whole user turn."""
     users = table(spark, d, "conversations").where("role = 'user'")
-    words = F.array_join(F.slice(F.split(T.squeeze(F.col("text")), " "), 1, 3), " ")
+    words = T.squeeze(F.col("text"))
     pick = ((F.col("conv_id") + F.col("turn")) % len(FRAMES) + 1).cast("int")
     head, tail = (F.element_at(F.array(*[F.lit(f[i]) for f in FRAMES]), pick) for i in (0, 1))
     return users.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat(head, words, tail).alias("question"))
@@ -90,7 +90,7 @@ def rule_coverage(spark, d):
 def answer_completeness(spark, d):
     rows = predictions(spark, d)
     return rows.select("id", A.completeness(F.col("predicted_answer")).alias("score"),
-                       A.completeness(F.substring("context", 1, 40)).alias("cut_score"))
+                       A.completeness(F.col("context")).alias("context_score"))
 
 
 def answer_type_score(spark, d):
@@ -111,7 +111,7 @@ def span_checks(spark, d):
     r = _spans(spark, d)
     c, s, e = F.col("context"), F.col("start_char"), F.col("end_char")
     return r.select("id", A.clean_word_boundaries(c, s, e).alias("clean"), A.is_supported(c, F.col("predicted_answer"), s, e).alias("supported"),
-                    A.repeats_question(F.concat_ws(" ", "question", F.substring("context", 1, 30)), A.slice_of(c, s, e)).alias("echo"))
+                    A.repeats_question(F.concat_ws(" ", "question", "context"), A.slice_of(c, s, e)).alias("echo"))
 
 
 def boundary_score(spark, d):
@@ -209,7 +209,7 @@ def window_slices(spark, d):
 
 
 def char_span_tokens(spark, d):
-    rows = predictions(spark, d).select("id", F.substring("context", 1, 200).alias("c"))
+    rows = predictions(spark, d).select("id", F.col("context").alias("c"))
     rows = rows.withColumn("offsets", spans.token_offsets(F.col("c")))
     rows = rows.withColumn("t", spans.map_char_span(F.col("offsets"), (F.col("id") % 40).cast("int"), (F.col("id") % 40 + 25).cast("int")))
     return rows.select("id", F.size("offsets").alias("n_tokens"), "t.start_token", "t.end_token")
@@ -223,14 +223,14 @@ def span_integrity(spark, d):
 
 
 def extract_phrases(spark, d):
-    """Phrases from sentences that wrap words of the reply into the relation each question asks for."""
+    """Phrases from sentences that wrap the reply into the relation each question asks for."""
     asked = Q.annotate_questions(framed(spark, d)).select("id", "question", "types", "coarse_relation", "relation", "subject", "predicate")
     frames = ["Do {w} khiến {s} phát triển mạnh.", "{s} sinh năm 1990 tại thành phố Hà Nội.", "{s} nằm ở thành phố Huế từ năm 1805.",
               "{s} là nhà nghiên cứu {w}.", "{s} được xây dựng để nghiên cứu {w}, theo báo cáo."]
     pick = (F.col("id") % len(frames) + 1).cast("int")
     body = F.element_at(F.array(*[F.lit(f) for f in frames]), pick)
     words = table(spark, d, "conversations").where("role = 'assistant'").select(
-        (F.col("conv_id") * 1000 + F.col("turn") - 1).alias("id"), F.lower(F.array_join(F.slice(F.split(T.squeeze(F.col("text")), " "), 1, 3), " ")).alias("w"))
+        (F.col("conv_id") * 1000 + F.col("turn") - 1).alias("id"), F.lower(T.squeeze(F.col("text"))).alias("w"))
     pairs = asked.join(words, "id").withColumn("context", F.replace(F.replace(body, F.lit("{w}"), F.col("w")), F.lit("{s}"), F.coalesce(F.col("subject"), F.lit("Hà Nội"))))
     out = extraction.sentence_fallback(pairs, ["id"])
     return out.select("id", "answer", "fallback_method", "confidence", "start_char", "end_char")

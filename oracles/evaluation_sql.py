@@ -8,8 +8,8 @@ PRED = f"""
   pr AS (SELECT u.conv_id * 1000 + u.turn AS id, u.conv_id, u.turn, u.text AS question, a.text AS context, string_split({S.squeeze('a.text')}, ' ') AS w
          FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND u.role = 'user' AND a.role = 'assistant'),
   pred AS (SELECT id, question, context, w, conv_id % 5 <> 0 AS is_answerable,
-             CASE WHEN conv_id % 5 <> 0 THEN array_to_string(w[1:6], ' ') ELSE '' END AS gold_answer,
-             CASE WHEN (conv_id + turn) % 7 = 0 THEN '' ELSE array_to_string(w[1 + conv_id % 3:1 + conv_id % 3 + 5 + conv_id % 2 - 1], ' ') END AS predicted_answer,
+             CASE WHEN conv_id % 5 <> 0 THEN array_to_string(w[1 + (conv_id + turn) % len(w):6 + (conv_id + turn) % len(w)], ' ') ELSE '' END AS gold_answer,
+             CASE WHEN (conv_id + turn) % 7 = 0 THEN '' ELSE array_to_string(w[1 + ((conv_id + turn) % len(w) + conv_id % 3) % len(w):((conv_id + turn) % len(w) + conv_id % 3) % len(w) + 5 + conv_id % 2], ' ') END AS predicted_answer,
              ((length(context) * 7 + turn) % 83 - 41) / 4.0 AS score_margin FROM pr)"""
 
 
@@ -107,8 +107,8 @@ _SWEEP = f"WITH {SC}, {_THRESHOLDS}, sw AS " + sweep(_SWEEP_ROWS, "(SELECT 1)")
 _SCORE = lambda a, b: f"((id * {a} + j * {b}) % 101) / 101.0"
 _FLAG = lambda a, m: f"((id + j * {a}) % {m} <> 0)"
 CAND = f"""
-  cand AS (SELECT id, id * 10 + j AS candidate_id, is_answerable, gold_answer, array_to_string(w[1 + j:6 + j], ' ') AS text, array_to_string(w[1 + j:7 + j], ' ') AS raw_text,
-    CASE WHEN j = 2 THEN '' ELSE array_to_string(w[1 + j:5 + j], ' ') END AS display_text, CASE WHEN j = 3 THEN 'phrase_fallback' ELSE 'neural_span' END AS method,
+  cand AS (SELECT id, id * 10 + j AS candidate_id, is_answerable, gold_answer, array_to_string(w[1 + (id + j) % len(w):6 + (id + j) % len(w)], ' ') AS text, array_to_string(w[1 + (id + j) % len(w):7 + (id + j) % len(w)], ' ') AS raw_text,
+    CASE WHEN j = 2 THEN '' ELSE array_to_string(w[1 + (id + j) % len(w):5 + (id + j) % len(w)], ' ') END AS display_text, CASE WHEN j = 3 THEN 'phrase_fallback' ELSE 'neural_span' END AS method,
     {_SCORE(31, 17)} AS reader_score, {_SCORE(7, 13)} AS retrieval_score, {_SCORE(3, 41)} AS answer_type_score, {_SCORE(11, 5)} AS relation_score,
     {_SCORE(19, 29)} AS boundary_score, {_SCORE(23, 3)} AS completeness_score, {_SCORE(5, 7)} AS cause_pattern_score, {_SCORE(13, 11)} AS subject_match_score,
     {_SCORE(17, 23)} AS target_relation_score, {_SCORE(29, 19)} AS ranking_score, CASE WHEN {_FLAG(1, 9)} THEN 1.0 ELSE 0.0 END AS evidence_score,
@@ -160,7 +160,7 @@ SQL = {
     "gold_documents": f"WITH {gold('SELECT doc_id AS query_id, text AS context FROM documents', 'SELECT item_id AS doc_id, text FROM benchmark')} SELECT query_id AS doc_id, doc_id AS item_id, strategy FROM gold",
     "near_documents": f"""WITH u AS (SELECT min(doc_id) AS doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '{S.WS}+'), lambda x: x <> '')) AS w FROM documents GROUP BY text),
         p AS (SELECT a.doc_id AS left_id, b.doc_id AS right_id, len(list_intersect(a.w, b.w)) AS c, len(a.w) AS n, len(b.w) AS m FROM u a JOIN u b
-              ON a.doc_id % 2 = 0 AND b.doc_id % 2 = 1 AND len(b.w) >= len(a.w) * 0.8 - 1e-9 AND len(b.w) * 0.8 - 1e-9 <= len(a.w) AND len(a.w) > 0),
+              ON a.doc_id <> b.doc_id AND len(b.w) >= len(a.w) * 0.8 - 1e-9 AND len(b.w) * 0.8 - 1e-9 <= len(a.w) AND len(a.w) > 0),
         o AS (SELECT left_id, right_id, c / (n + m - c) AS overlap FROM p WHERE c / (n + m - c) >= 0.8)
         SELECT left_id, right_id, round(overlap, 6) AS overlap FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY overlap DESC, right_id) AS r FROM o) WHERE r = 1""",
     "recall_mrr": _metrics("SELECT DISTINCT query_id FROM gold"),

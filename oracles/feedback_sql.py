@@ -69,7 +69,7 @@ SQL = {
         {_w(f'NOT ({_OK})')} AS failures FROM st GROUP BY 1, 2) SELECT *, round(failures / total, 6) AS failure_rate, round(failures / total * ln(1 + total), 6) AS blind_spot_score FROM c""",
     "fb_top_reasons": _top("rejection_reason", "LIMIT 12"),
     "fb_gap_types": _top("gap_type"),
-    "fb_review_latest": f"""WITH {LOG}, rv AS (SELECT event_id % 500 AS feedback_id, ts AS reviewed_at, ['APPROVED', 'REJECTED', 'REVIEWED', 'BOGUS'][user_id % 4 + 1] AS decision, event_type AS note FROM events),
+    "fb_review_latest": f"""WITH {LOG}, rv AS (SELECT event_id // 2 AS feedback_id, ts AS reviewed_at, ['APPROVED', 'REJECTED', 'REVIEWED', 'BOGUS'][user_id % 4 + 1] AS decision, event_type AS note FROM events),
         la AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feedback_id ORDER BY reviewed_at DESC) AS r FROM rv WHERE decision <> 'BOGUS') WHERE r = 1)
         SELECT lg.feedback_id, coalesce(la.decision, lg.status) AS status, la.note AS review_note FROM lg LEFT JOIN la USING (feedback_id)""",
     "fb_export": f"""WITH {STORE} SELECT feedback_id, question, md5(text) AS context_md5, corrected_answer AS answer_text, cs AS answer_start, 'human_feedback' AS source

@@ -27,5 +27,6 @@ SQL = {
         SELECT question_id, ordinal, ranking_score, rank FROM r WHERE rank <= 3""",
     "duplicate_questions": f"""WITH u AS (SELECT {S.fold_words('text')} AS norm, min(conv_id * 1000 + turn) AS id, min(text) AS text FROM conversations GROUP BY 1),
         w AS (SELECT id, {_CONTENT} AS w FROM u), p AS (SELECT a.id AS left, b.id AS right, len(list_intersect(a.w, b.w)) AS c, len(a.w) AS n, len(b.w) AS m FROM w a JOIN w b ON a.id < b.id AND len(a.w) > 0 AND len(b.w) > 0)
-        SELECT "left", "right", round(c / (n + m - c), 6) AS similarity FROM p WHERE round(c / (n + m - c), 6) >= 0.6""",
+        SELECT "left", "right", round(c / (n + m - c), 6) AS similarity FROM p WHERE round(c / (n + m - c), 6) >= 0.6
+        UNION ALL SELECT u.id, x.id, 1.0 FROM (SELECT {S.fold_words('text')} AS norm, conv_id * 1000 + turn AS id FROM conversations) x JOIN u USING (norm) WHERE norm <> '' AND x.id <> u.id""",
 }

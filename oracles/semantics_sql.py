@@ -12,7 +12,7 @@ _FRAMES = [
 ]
 _HEADS = "[" + ", ".join(S.q(h) for h, _ in _FRAMES) + "]"
 _TAILS = "[" + ", ".join(S.q(t) for _, t in _FRAMES) + "]"
-FRAMED = f"""fq AS (SELECT conv_id * 1000 + turn AS id, {_HEADS}[(conv_id + turn) % 16 + 1] || array_to_string(string_split({S.squeeze('text')}, ' ')[1:3], ' ')
+FRAMED = f"""fq AS (SELECT conv_id * 1000 + turn AS id, {_HEADS}[(conv_id + turn) % 16 + 1] || {S.squeeze('text')}
     || {_TAILS}[(conv_id + turn) % 16 + 1] AS question FROM conversations WHERE role = 'user'), fw AS (SELECT id, {S.fold_words('question')} AS f FROM fq)"""
 
 
@@ -69,7 +69,7 @@ def _best(key: str, limit: int, source: str = "sp") -> str:
 
 SQL = {
     "question_types": f"WITH {FRAMED}, t AS (SELECT *, {_TYPES} AS types FROM fw) SELECT id, types, {_COARSE} AS coarse_relation, {_WEAK} AS weak_bucket FROM t",
-    "answer_completeness": f"WITH {PRED} SELECT id, CAST({completeness('predicted_answer')} AS DOUBLE) AS score, CAST({completeness('substr(context, 1, 40)')} AS DOUBLE) AS cut_score FROM pred",
+    "answer_completeness": f"WITH {PRED} SELECT id, CAST({completeness('predicted_answer')} AS DOUBLE) AS score, CAST({completeness('context')} AS DOUBLE) AS context_score FROM pred",
     "gate_chain": GATES + " SELECT candidate_id, ranking_score, " + ", ".join(f"gate_{g}" for g in fixed.GATE_ORDER) + ", rejection_reason, relation_warning FROM ga",
     "select_answer": GATES + """ SELECT question_id, candidate_id, ranking_score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY ranking_score DESC, evidence_score DESC,
         reader_score DESC, candidate_id) AS r FROM ga WHERE rejection_reason IS NULL) WHERE r = 1""",
