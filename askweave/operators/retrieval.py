@@ -207,10 +207,12 @@ def hashed_tfidf(docs: DataFrame, queries: DataFrame, k: int, buckets: int | Non
                  query_text: str = "question", tokenizer=space_tokens) -> DataFrame:
     """Dot product of ``ln(1 + tf) * idf`` over uni- and bigrams.
 
+    A gram's bucket comes from the first 24 bits of its MD5, which every engine
+    has; other hashes collide elsewhere, so scores differ by their collisions.
     ``buckets=None`` keeps the gram itself as the feature and so has no collisions.
     """
     def feature(c: Column) -> Column:
-        return c if buckets is None else F.pmod(F.hash(c), F.lit(buckets))
+        return c if buckets is None else F.conv(F.substring(F.md5(c), 1, 6), 16, 10).cast("long") % buckets
 
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("_t")).repartition("doc_id")
     tok = narrow.select("doc_id", tokenizer(F.col("_t")).alias("tokens"))

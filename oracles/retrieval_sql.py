@@ -181,6 +181,12 @@ SQL = {
         sc AS (SELECT item_id, doc_id, round(sum(ln(1 + qtf) * idf * idf * ln(1 + tf)), 6) AS score
                FROM qc JOIN dc USING (gram) JOIN df USING (gram) WHERE idf > 0 GROUP BY ALL HAVING score > 0)
         SELECT item_id, doc_id, rank, score FROM {hits(K)}""",
+    "tfidf_hashed_topk": f"""WITH {_DGRAMS}, {_QGRAMS},
+        dc AS (SELECT doc_id, CAST(concat('0x', substr(md5(gram), 1, 6)) AS BIGINT) % {fixed.HASH_BUCKETS} AS gram, count(*) AS tf FROM dg GROUP BY ALL), qc AS (SELECT item_id, CAST(concat('0x', substr(md5(gram), 1, 6)) AS BIGINT) % {fixed.HASH_BUCKETS} AS gram, count(*) AS qtf FROM qg GROUP BY ALL),
+        df AS (SELECT gram, greatest(0.0, ln(((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5))) AS idf FROM dc GROUP BY gram),
+        sc AS (SELECT item_id, doc_id, round(sum(ln(1 + qtf) * idf * idf * ln(1 + tf)), 6) AS score
+               FROM qc JOIN dc USING (gram) JOIN df USING (gram) WHERE idf > 0 GROUP BY ALL HAVING score > 0)
+        SELECT item_id, doc_id, rank, score FROM {hits(K)}""",
     "lexical_bm25_boosted": lexical("bm25"),
     "lexical_tfidf_boosted": lexical("tfidf"),
     "passage_bm25_topk": PASSAGES_CTE + ", " + base("SELECT printf('%d_P%04d', doc_id, num) AS doc_id, body AS text FROM chunks")

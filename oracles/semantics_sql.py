@@ -90,4 +90,20 @@ SQL = {
         SELECT split, count(*) AS total_rows, count(*) FILTER (y) AS answerable, count(*) FILTER (y AND ex) AS valid, count(*) FILTER (y AND s + length(a) > length(c)) AS outside_context,
           count(*) FILTER (y AND NOT ex AND fo < 0) AS not_in_context, count(*) FILTER (y AND NOT ex AND fo >= 0) AS shifted, count(*) FILTER (y AND fo >= 0) AS first_match, count(*) FILTER (y AND fo = s) AS first_match_exact,
           CASE WHEN count(*) FILTER (y) > 0 THEN round(100.0 * count(*) FILTER (y AND ex) / count(*) FILTER (y), 6) ELSE 0.0 END AS accuracy FROM f GROUP BY split""",
+    "window_merge": f"WITH {FEATURES} " + _best("sample", 3),
+    "fallback_errors": GATES + """, fr AS (SELECT question_id, question_id % 5 <> 0 AS is_answerable, question_id % 7 = 0 AS has_answer, ty AS gold_in_passage,
+          method = 'sentence_fallback' AS fb, CASE WHEN c % 9 = 0 THEN 'temporal_expression_pattern' ELSE 'whole_sentence' END = 'whole_sentence' AS whole, rejection_reason,
+          c % 4 = 0 AS gold_in_fallback, c % 8 = 0 AS neural_exact FROM ga),
+        fq AS (SELECT question_id, bool_or(fb) AND coalesce(bool_and(whole) FILTER (fb), true) AS a, bool_or(fb AND coalesce(rejection_reason, '') = 'INSUFFICIENT_FALLBACK_EVIDENCE') AS b,
+          bool_or(fb AND whole) AS w, bool_or(gold_in_fallback AND NOT neural_exact) AS d FROM fr WHERE is_answerable AND NOT has_answer AND gold_in_passage GROUP BY question_id)
+        SELECT error, count(*) AS "count" FROM (SELECT 'FALLBACK_PHRASE_NOT_EXTRACTED' AS error FROM fq WHERE a UNION ALL SELECT 'FALLBACK_TYPE_GATE_FALSE_NEGATIVE' FROM fq WHERE b
+          UNION ALL SELECT 'FALLBACK_WHOLE_SENTENCE_TOO_BROAD' FROM fq WHERE w UNION ALL SELECT 'NEURAL_SPAN_WRONG_FALLBACK_CORRECT' FROM fq WHERE d) GROUP BY error""",
+    "char_span_tokens": f"""WITH {PRED}, tk AS (SELECT id, context, regexp_extract_all(context, '[^\\s\\p{{Z}}]+[\\s\\p{{Z}}]*') AS ws FROM pred),
+        ps AS (SELECT id, ws, CAST(unnest(range(1, len(ws) + 1)) AS INTEGER) AS i FROM tk),
+        pl AS (SELECT id, i, coalesce(list_sum(list_transform(ws[1:i - 1], lambda x: length(x))), 0) AS s, length(regexp_replace(ws[i], '[\\s\\p{{Z}}]+$', '')) AS n FROM ps),
+        ld AS (SELECT id, length(context) - length(regexp_replace(context, '^[\\s\\p{{Z}}]+', '')) AS lead FROM pred),
+        o AS (SELECT pl.id, i, s + lead AS s, s + lead + n AS e FROM pl JOIN ld USING (id)),
+        g AS (SELECT id, count(*) AS n_tokens, min(s) AS lo, max(e) AS hi, count(*) FILTER (s <= id % 40) - 1 AS st, count(*) FILTER (e < id % 40 + 25) AS en FROM o GROUP BY id)
+        SELECT id, CAST(n_tokens AS INTEGER) AS n_tokens, CAST(CASE WHEN id % 40 >= lo AND id % 40 + 25 <= hi THEN st ELSE 0 END AS INTEGER) AS start_token,
+          CAST(CASE WHEN id % 40 >= lo AND id % 40 + 25 <= hi THEN en ELSE 0 END AS INTEGER) AS end_token FROM g""",
 }
