@@ -45,6 +45,11 @@ FINGERPRINT_COLUMNS = ["question", "predicted_answer", "feedback_type", "correct
                        "corrected_start_char", "corrected_end_char"]
 
 
+def _longest(df: DataFrame, *columns: str) -> Column:
+    """Characters of the longest of the columns that ``df`` has."""
+    return F.greatest(F.lit(0), F.lit(0), *[F.coalesce(F.length(c), F.lit(0)) for c in columns if c in df.columns])
+
+
 def validate(df: DataFrame, passages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split submissions into valid rows and rows with an ``error``.
 
@@ -62,7 +67,7 @@ def validate(df: DataFrame, passages: DataFrame) -> tuple[DataFrame, DataFrame]:
     start, end = F.col("corrected_start_char"), F.col("corrected_end_char")
     any_fix = F.col("corrected_answer").isNotNull() | start.isNotNull() | end.isNotNull()
     target = F.when(any_fix, F.coalesce(F.col("corrected_passage_id"), F.col("selected_passage_id")))
-    df = df.withColumn("_target", target).withColumn("_row", F.xxhash64(*[F.col(c).cast("string") for c in df.columns]))
+    df = df.withColumn("_target", target).withColumn("_row", F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256))
     known = passages.select(F.col("passage_id"), F.lit(True).alias("_known"))
     chosen = known.select(F.col("passage_id").alias("selected_passage_id"), F.col("_known").alias("_selected_known"))
     body = passages.select(F.col("passage_id").alias("_target"), F.col("text").alias("_body"))
@@ -73,6 +78,8 @@ def validate(df: DataFrame, passages: DataFrame) -> tuple[DataFrame, DataFrame]:
     error = (
         F.when(F.col("question").isNull(), "question is required")
         .when(F.length("question") > 2000, "text field exceeds 2000 characters")
+        .when(_longest(df, "selected_passage_id", "corrected_passage_id") > 300, "an id is longer than 300 characters")
+        .when(_longest(df, "note") > 4000, "the note is longer than 4000 characters")
         .when(~F.col("feedback_type").isin([t for t in fixed.FEEDBACK_TYPES if t != "DOCUMENT_SUBMISSION"]), "unsupported feedback_type")
         .when(F.col("selected_passage_id").isNotNull() & F.col("_selected_known").isNull(),
               F.concat(F.lit("unknown passage_id: "), F.col("selected_passage_id")))
@@ -238,7 +245,7 @@ def export_corrections(df: DataFrame, passages: DataFrame) -> DataFrame:
         F.col("corrected_start_char").cast("int").alias("answer_start"), F.lit("human_feedback").alias("source"), "feedback_id",
         F.struct(version("model_version").alias("reader"), version("corpus_version").alias("corpus"),
                  version("semantic_policy_version").alias("semantic_policy")).alias("system_version"), "timestamp",
-    ).orderBy("timestamp").drop("timestamp")
+    ).orderBy("timestamp", "feedback_id").drop("timestamp")
 
 
 def with_passages(df: DataFrame, passages: DataFrame) -> DataFrame:

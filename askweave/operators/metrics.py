@@ -400,3 +400,38 @@ def ablation(questions: DataFrame, candidates: DataFrame) -> DataFrame:
     scored = score_predictions(long)
     total = report(scored, ["variant"]).withColumn("bucket", F.lit("ALL"))
     return total.unionByName(report(scored, ["variant", "bucket"]))
+
+
+def ranking_counters(df: DataFrame, high_score: float = 0.8) -> DataFrame:
+    """One row: how often the right passage was there, was taken, and what the answer was worth.
+
+    Needs ``is_answerable, gold_answer, predicted_answer, passages`` (the text of
+    all retrieved passages), ``selected`` (the text of the chosen one, null for
+    none) and ``ranking_score``.
+    """
+    gold = T.normalize_answer(F.col("gold_answer"))
+    answered = F.coalesce(F.col("predicted_answer"), F.lit("")) != ""
+    holds = F.coalesce((gold != "") & F.contains(T.normalize_answer(F.col("selected")), gold), F.lit(False))
+    wrong = answered & (gold != T.normalize_answer(F.col("predicted_answer"))) & (F.coalesce("ranking_score", F.lit(0.0)) >= high_score)
+    events = {
+        "gold_passage_available": F.col("is_answerable") & (gold != "") & F.contains(T.normalize_answer(F.col("passages")), gold),
+        "gold_passage_selected": F.col("is_answerable") & holds,
+        "wrong_passage_selected": F.col("is_answerable") & F.col("selected").isNotNull() & ~holds,
+        "no_answer_correctly_emitted": ~F.col("is_answerable") & ~answered,
+        "false_positive_answer_emitted": ~F.col("is_answerable") & answered,
+        "high_score_wrong_answer": wrong,
+    }
+    out = df.agg(F.count(F.lit(1)).alias("total"), *[F.coalesce(F.sum(x.cast("long")), F.lit(0)).alias(c) for c, x in events.items()])
+    rate = F.when(F.col("total") > 0, F.round(100.0 * F.col("high_score_wrong_answer") / F.col("total"), 6)).otherwise(0.0)
+    return out.withColumn("high_score_wrong_answer_rate", rate)
+
+
+def compare_runs(runs: DataFrame, reports: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """One row for each run that has its settings, its report and its best threshold; others are left out.
+
+    ``runs``: ``run, learning_rate, epochs, max_length, stride``; ``reports``: ``run``
+    and the columns of ``report``; ``thresholds``: ``run, best_threshold``.
+    """
+    both = runs.join(reports, "run").join(thresholds, "run")
+    return both.select("run", "learning_rate", "epochs", "max_length", "stride", "overall_em", "overall_f1", "answerable_em", "answerable_f1",
+                       "unanswerable_accuracy", "best_threshold", "answerable_predicted_empty_rate")

@@ -385,7 +385,8 @@ def hybrid(lexical: DataFrame, dense: DataFrame, k: int) -> DataFrame:
     cut = lexical.where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
     cut = ranking.min_max(cut)
     has_dense = dense.select("query_id").distinct()
-    fused = ranking.rrf(lexical.join(has_dense, "query_id", "left_semi"), dense, k)
+    # Stored: at most k rows a query, and a union of two coalesced shuffles cannot be zipped by partition.
+    fused = materialize(ranking.rrf(lexical.join(has_dense, "query_id", "left_semi"), dense, k), "fused")
     return ranking.with_fallback(fused, cut)
 
 

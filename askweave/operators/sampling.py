@@ -50,8 +50,19 @@ def rebalance(df: DataFrame, flag: str, key: str, ratio: float = 2.0) -> DataFra
     """Keep all flagged rows and at most ``ratio`` times as many others, in key order."""
     flagged = df.where(F.col(flag))
     limit = int(flagged.count() * ratio)
-    rest = df.where(~F.col(flag)).orderBy(key).limit(limit)
-    return flagged.unionByName(rest)
+    part = F.substring(F.col(key), 1, 3)
+    rest = df.where(~F.col(flag)).withColumn("_part", part)
+    # Keys are hexadecimal digests: at most 4096 parts, of which one holds the cut.
+    room, cut = limit, None
+    for row in sorted(rest.groupBy("_part").count().collect(), key=lambda r: r["_part"]):
+        if row["count"] > room:
+            cut = row["_part"]
+            break
+        room -= row["count"]
+    if cut is None:
+        return flagged.unionByName(rest.drop("_part"))
+    inside = rest.where(F.col("_part") == cut).withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(key))).where(F.col("_n") <= room)
+    return flagged.unionByName(rest.where(F.col("_part") < cut).drop("_part")).unionByName(inside.drop("_part", "_n"))
 
 
 def holdout(df: DataFrame, quotas: dict[str, int], seed: str, strict: bool = True) -> DataFrame:

@@ -233,8 +233,18 @@ def rebalance(spark, d):
     return sampling.rebalance(rows.withColumn("key", sampling.stable_key("seed-3", F.col("doc_id"))), "flag", "key").select("doc_id", "flag")
 
 
+def ranking_counts(spark, d):
+    """Counters over the best candidate of each prediction row that passes the reader threshold."""
+    best = candidates(spark, d).where("passes_reader_threshold").groupBy("id").agg(F.max_by(
+        F.struct("text", "raw_text", "ranking_score"), F.struct("ranking_score", -F.col("candidate_id"))).alias("b"))
+    rows = predictions(spark, d).join(best, "id", "left").select(
+        "is_answerable", "gold_answer", F.coalesce("b.text", F.lit("")).alias("predicted_answer"), F.col("context").alias("passages"),
+        F.col("b.raw_text").alias("selected"), F.col("b.ranking_score").alias("ranking_score"))
+    return metrics.ranking_counters(rows, 0.7)
+
+
 QUERIES = {f.__name__: f for f in (
     gold_mapping, gold_documents, near_documents, recall_mrr, recall_mrr_all, recall_by_class, dense_recall, em_f1_rows,
     em_f1_report, set_overlap, error_taxonomy, length_hist, ratio_buckets, refinement_outcomes, threshold_sweep,
     threshold_best, objectives, score_distribution, percentile_nearest, percentile_linear, grid_search, grid_winners,
-    ablation, quota_sample, round_robin, rebalance)}
+    ablation, quota_sample, round_robin, rebalance, ranking_counts)}

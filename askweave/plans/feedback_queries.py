@@ -86,6 +86,10 @@ def fb_top_reasons(spark, d):
     return feedback.top_values(_store(spark, d), "rejection_reason", feedback.fixed.TOP_REASONS)
 
 
+def fb_status_counts(spark, d):
+    return _store(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("rows"), F.sum("duplicate_count").alias("submissions"))
+
+
 def fb_gap_types(spark, d):
     return feedback.top_values(_store(spark, d), "gap_type")
 
@@ -140,4 +144,4 @@ def fb_trend_stream(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     fb_dedup, fb_conflicts, gap_classify, fb_summary, fb_buckets, fb_buckets_type, fb_trend, fb_heatmap, fb_top_reasons,
-    fb_gap_types, fb_review_latest, fb_export, fb_review_view, fb_validate, fb_trend_stream)}
+    fb_status_counts, fb_gap_types, fb_review_latest, fb_export, fb_review_view, fb_validate, fb_trend_stream)}

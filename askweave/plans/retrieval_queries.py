@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from askweave.functions import questions as Q
 from askweave.functions import text as T
 from askweave.operators import chunking, dense, ranking, retrieval, text_index
+from askweave.session import materialize
 from askweave.sources.tables import table
 
 K = 10
@@ -111,8 +112,8 @@ def dense_search(metric):
 
 
 def _legs(spark, d, k):
-    """Lexical leg over documents and dense leg over the vectors of the same ids."""
-    lex = retrieval.bm25(table(spark, d, "documents"), _asked(spark, d), k)
+    """Boosted lexical leg over documents and dense leg over the vectors of the same ids."""
+    lex = materialize(retrieval.lexical_retrieve(_titled(spark, d), _asked(spark, d), k).select("query_id", "doc_id", "score", "rank"), "lexical-leg")
     q, v = _vectors(spark, d)
     known = table(spark, d, "documents").select("doc_id")
     v = v.join(known, "doc_id", "left_semi")
@@ -136,10 +137,9 @@ def preferred(spark, d):
 
 
 def compare_retrievers(spark, d):
-    docs, asked = table(spark, d, "documents"), _asked(spark, d)
     lex, den = _legs(spark, d, 9)
     runs = {
-        "tfidf": retrieval.tfidf(docs, asked, 3), "bm25": lex.where("rank <= 3"),
+        "tfidf": retrieval.lexical_retrieve(_titled(spark, d), _asked(spark, d), 3, "tfidf"), "bm25": lex.where("rank <= 3"),
         "dense": den.where("rank <= 3"), "hybrid": retrieval.hybrid(lex, den, 3),
     }
     out = None

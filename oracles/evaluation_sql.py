@@ -221,4 +221,13 @@ SQL = {
     "rebalance": f"""WITH a AS (SELECT doc_id, toxic = 1 AS flag, {stable('seed-3', 'doc_id')} AS key FROM labels)
         SELECT doc_id, flag FROM a WHERE flag UNION ALL
         SELECT doc_id, flag FROM (SELECT *, row_number() OVER (ORDER BY key) AS r FROM a WHERE NOT flag) WHERE r <= 2 * (SELECT count(*) FROM a WHERE flag)""",
+    "ranking_counts": f"""WITH {PRED}, {CAND}, b AS (SELECT id, text, raw_text, ranking_score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ranking_score DESC, candidate_id) AS r
+          FROM cand WHERE passes_reader_threshold) WHERE r = 1),
+        x AS (SELECT is_answerable, {S.normalize_answer('gold_answer')} AS g, coalesce(b.text, '') AS p, {S.normalize_answer("coalesce(b.text, '')")} AS np,
+          {S.normalize_answer('context')} AS c, {S.normalize_answer("coalesce(b.raw_text, '')")} AS s, b.raw_text IS NOT NULL AS has, coalesce(b.ranking_score, 0.0) AS score FROM pred LEFT JOIN b USING (id)),
+        y AS (SELECT *, g <> '' AND has AND contains(s, g) AS holds, p <> '' AS answered FROM x),
+        z AS (SELECT count(*) AS total, count(*) FILTER (is_answerable AND g <> '' AND contains(c, g)) AS gold_passage_available, count(*) FILTER (is_answerable AND holds) AS gold_passage_selected,
+          count(*) FILTER (is_answerable AND has AND NOT holds) AS wrong_passage_selected, count(*) FILTER (NOT is_answerable AND NOT answered) AS no_answer_correctly_emitted,
+          count(*) FILTER (NOT is_answerable AND answered) AS false_positive_answer_emitted, count(*) FILTER (answered AND g <> np AND score >= 0.7) AS high_score_wrong_answer FROM y)
+        SELECT *, round(100.0 * high_score_wrong_answer / total, 6) AS high_score_wrong_answer_rate FROM z""",
 }

@@ -83,4 +83,5 @@ SQL = {
           WHEN corrected_answer IS NOT NULL AND lower({S.squeeze('substr(body, cs + 1, ce - cs)')}) <> corrected_answer THEN 'corrected_answer does not match the corpus span' ELSE 'ok' END AS result FROM j)
         SELECT result, count(*) AS count FROM e GROUP BY result""",
     "fb_trend_stream": f"WITH {LOG} " + _trend("lg", "1"),
+    "fb_status_counts": f"WITH {STORE} SELECT status, count(*) AS rows, CAST(sum(w) AS BIGINT) AS submissions FROM st GROUP BY status",
 }

@@ -102,7 +102,7 @@ _DGRAMS = _grams("d", "doc_id", "documents")
 _QGRAMS = _grams("q", "item_id", "benchmark")
 
 
-def lexical(method: str) -> str:
+def lexical(method: str, k: int = K) -> str:
     score = "coalesce(b.score, 0)" if method == "bm25" else "b.score"
     base_cte = (bm25_scores("binary").replace("round(sum(qtf * idf", "(sum(qtf * idf").replace(", 6) AS score", ") AS score")
                 if method == "bm25" else _TFIDF + ", sc AS (SELECT * FROM cosine)")
@@ -132,7 +132,7 @@ def lexical(method: str) -> str:
       + CASE WHEN matched >= 2 AND span <= 40 THEN (40 - span) / 40.0 ELSE 0.0 END
       + least(1.5, 0.35 * len(list_filter(g, lambda x: contains(body, x)))) + lead_boost, 6) AS score FROM l5),
   rk AS (SELECT *, {_rank('item_id', 'doc_id', 'score')} AS rank FROM fin WHERE score > 0)
-  SELECT item_id, doc_id, rank, score, {min_max('score', 'item_id')} AS score_norm FROM rk WHERE rank <= {K}"""
+  SELECT item_id, doc_id, rank, score, {min_max('score', 'item_id')} AS score_norm FROM rk WHERE rank <= {k}"""
 
 
 def dense(metric: str) -> str:
@@ -149,7 +149,7 @@ def dense(metric: str) -> str:
 
 def _fusion(k: int, leg: int) -> str:
     return f"""
-  lex AS (SELECT item_id, doc_id, score, rank FROM {hits(leg)}),
+  lex AS (SELECT item_id, doc_id, score, rank FROM ({lexical('bm25', leg)})),
   ds AS (SELECT a.vec_id AS item_id, b.vec_id AS doc_id,
                 round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score
          FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id IN (SELECT item_id FROM benchmark) AND b.vec_id IN (SELECT doc_id FROM documents)),
@@ -197,7 +197,7 @@ SQL = {
     "dense_cosine_topk": dense("cosine"),
     "dense_ip_topk": dense("ip"),
     "dense_l2_topk": dense("l2"),
-    "rrf_hybrid": f"WITH {base()}, {bm25_scores()}, {_fusion(K, 3 * K)} SELECT item_id, doc_id, rank, score, {min_max('score', 'item_id')} AS score_norm FROM hyb",
+    "rrf_hybrid": f"WITH {_fusion(K, 3 * K)} SELECT item_id, doc_id, rank, score, {min_max('score', 'item_id')} AS score_norm FROM hyb",
     "preferred_injection": f"""WITH {base()}, {bm25_scores()}, h AS (SELECT *, {min_max('score', 'item_id')} AS score_norm FROM {hits(K)}),
         w AS (SELECT item_id, doc_id AS pref FROM h WHERE rank = 4 AND item_id % 2 = 0 UNION ALL SELECT item_id, item_id FROM benchmark WHERE item_id % 2 = 1),
         f AS (SELECT w.item_id, pref AS doc_id, coalesce(max(CASE WHEN doc_id = pref THEN score END), max(score), 0.0) AS score, 1.0 AS score_norm, 0 AS o
@@ -207,9 +207,8 @@ SQL = {
         a AS (SELECT item_id, doc_id, score, score_norm, o, true AS has FROM f UNION ALL SELECT item_id, doc_id, score, score_norm, o, pref IS NOT NULL FROM o),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY o, doc_id) AS INTEGER) AS rank FROM a)
         SELECT item_id, doc_id, rank, score, CAST(score_norm AS DOUBLE) AS score_norm FROM r WHERE NOT has OR rank <= {K}""",
-    "compare_retrievers": f"""WITH {base()}, {bm25_scores()}, {_fusion(3, 9)}, {_TFIDF.replace('idf AS (', 'idf2 AS (').replace('JOIN idf USING', 'JOIN idf2 USING')},
-        tf AS (SELECT item_id, doc_id, {_rank('item_id', 'doc_id', 'round(score, 6)')} AS rank FROM cosine WHERE round(score, 6) > 0)
-        SELECT 'tfidf' AS method, item_id, doc_id, rank FROM tf WHERE rank <= 3 UNION ALL SELECT 'bm25', item_id, doc_id, rank FROM lex WHERE rank <= 3
+    "compare_retrievers": f"""WITH {_fusion(3, 9)}, tf AS (SELECT item_id, doc_id, rank FROM ({lexical('tfidf', 3)}))
+        SELECT 'tfidf' AS method, item_id, doc_id, rank FROM tf UNION ALL SELECT 'bm25', item_id, doc_id, rank FROM lex WHERE rank <= 3
         UNION ALL SELECT 'dense', item_id, doc_id, rank FROM den WHERE rank <= 3 UNION ALL SELECT 'hybrid', item_id, doc_id, rank FROM hyb""",
     "candidate_count": "SELECT item_id, CAST(least(40, greatest(item_id % 30, 20, 2 * (item_id % 30))) AS INTEGER) AS candidates FROM benchmark",
 }
