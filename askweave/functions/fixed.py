@@ -166,34 +166,21 @@ CAUSE_PREDICATE = (
 
 # (rule id, category, relation, description, pattern)
 RULES = [
-    ("CAUSE_MARKER_PREFIX", "question_relation", "CAUSE", "Vietnamese causal interrogative prefix",
-     CAUSE_BODY_PATTERNS[0]),
-    ("CAUSE_NOMINAL_PREFIX", "question_relation", "CAUSE", "Nominal cause-question construction",
-     CAUSE_BODY_PATTERNS[1]),
-    ("CAUSE_TRIGGER_PREFIX", "question_relation", "CAUSE", "Cause trigger/effect construction",
-     CAUSE_BODY_PATTERNS[2] + "|" + CAUSE_BODY_PATTERNS[3]),
-    ("CAUSE_MARKER_SUFFIX", "question_relation", "CAUSE", "Vietnamese causal interrogative suffix",
-     CAUSE_BODY_PATTERNS[4]),
-    ("TIME_BIRTH_MARKER", "question_relation", "TIME", "Birth-time question marker",
-     r"\b(?:nam sinh cua|ngay sinh cua|sinh(?: ra)?(?: vao)? nam|chao doi)\b"),
-    ("TIME_DEATH_MARKER", "question_relation", "TIME", "Death-time question marker",
-     r"\b(?:mat|qua doi|tu tran)\b"),
-    ("LOCATION_INTERROGATIVE", "question_relation", "LOCATION", "Location interrogative marker",
-     r"\b(?:o dau|tai dau|noi nao|dia diem nao)\b"),
-    ("PURPOSE_INTERROGATIVE", "question_relation", "PURPOSE", "Purpose interrogative marker",
-     r"\b(?:voi|nham)?\s*(?:muc dich|muc tieu)\s+gi\b|\bde lam gi\b"),
-    ("IDENTITY_INTERROGATIVE", "question_relation", "ENTITY", "Alias or identity interrogative marker",
-     r"\b(?:ten goi|bi danh|ten khac|ten nao)\b"),
-    ("PREDICATE_AUXILIARY_BOUNDARY", "predicate_boundary", None,
-     "Vietnamese aspect, passive, and modal auxiliary boundary", r"\b(?:bi|duoc|da|dang|se|tung|phai)\b"),
-    ("PREDICATE_EVENT_BOUNDARY", "predicate_boundary", None, "General event/state-change verb boundary",
-     r"\b(?:sinh ra|sinh|chao doi|ra doi|mat|qua doi|dien ra|xay ra|no ra|moc ra|moc|xuat hien|phan bo|"
+    ("CAUSE_MARKER_PREFIX", "question_relation", "CAUSE", CAUSE_BODY_PATTERNS[0]),
+    ("CAUSE_NOMINAL_PREFIX", "question_relation", "CAUSE", CAUSE_BODY_PATTERNS[1]),
+    ("CAUSE_TRIGGER_PREFIX", "question_relation", "CAUSE", CAUSE_BODY_PATTERNS[2] + "|" + CAUSE_BODY_PATTERNS[3]),
+    ("CAUSE_MARKER_SUFFIX", "question_relation", "CAUSE", CAUSE_BODY_PATTERNS[4]),
+    ("TIME_BIRTH_MARKER", "question_relation", "TIME", r"\b(?:nam sinh cua|ngay sinh cua|sinh(?: ra)?(?: vao)? nam|chao doi)\b"),
+    ("TIME_DEATH_MARKER", "question_relation", "TIME", r"\b(?:mat|qua doi|tu tran)\b"),
+    ("LOCATION_INTERROGATIVE", "question_relation", "LOCATION", r"\b(?:o dau|tai dau|noi nao|dia diem nao)\b"),
+    ("PURPOSE_INTERROGATIVE", "question_relation", "PURPOSE", r"\b(?:voi|nham)?\s*(?:muc dich|muc tieu)\s+gi\b|\bde lam gi\b"),
+    ("IDENTITY_INTERROGATIVE", "question_relation", "ENTITY", r"\b(?:ten goi|bi danh|ten khac|ten nao)\b"),
+    ("PREDICATE_AUXILIARY_BOUNDARY", "predicate_boundary", None, r"\b(?:bi|duoc|da|dang|se|tung|phai)\b"),
+    ("PREDICATE_EVENT_BOUNDARY", "predicate_boundary", None, r"\b(?:sinh ra|sinh|chao doi|ra doi|mat|qua doi|dien ra|xay ra|no ra|moc ra|moc|xuat hien|phan bo|"
      r"duoc trong|duoc tim thay|toa lac|nam|gui|phat trien|gia tang|suy giam|bung no|sup do|"
      r"tro thanh|thanh lap|xay dung)\b"),
-    ("PREDICATE_COPULA_BOUNDARY", "predicate_boundary", None, "Vietnamese copular or possession boundary",
-     r"\b(?:co|la)\b"),
-    ("PREDICATE_MODIFIER_BOUNDARY", "predicate_modifier", None, "Locative or temporal modifier boundary",
-     r"\s+\b(?:tai|o|tren|trong|vao|tu|den)\b\s+"),
+    ("PREDICATE_COPULA_BOUNDARY", "predicate_boundary", None, r"\b(?:co|la)\b"),
+    ("PREDICATE_MODIFIER_BOUNDARY", "predicate_modifier", None, r"\s+\b(?:tai|o|tren|trong|vao|tu|den)\b\s+"),
 ]
 TIME_BIRTH = r"\b(?:nam sinh|sinh(?: ra)?(?: vao)? nam|sinh nam|ra doi|chao doi)\b"
 TIME_DEATH = r"\b(?:mat|qua doi|tu tran)\b"
@@ -459,7 +446,7 @@ SUBJECT_PHRASE_NOISE = (
 
 FOLLOWUP = {
     "max_followups": 3, "max_internal_candidates": 10, "min_answerability": 0.62, "min_topic": 0.5,
-    "max_context_passages": 12, "duplicate_similarity": 0.72, "surface_similarity": 0.93, "max_probes": 3, "probe_top_k": 5,
+    "max_context_passages": 12, "surface_similarity": 0.93, "max_probes": 3,
     "w_answerability": 0.45, "w_relevance": 0.25, "w_novelty": 0.2, "w_diversity": 0.1,
 }
 FOLLOWUP_STOPWORDS = [

@@ -129,9 +129,9 @@ def _without_tail(text: Column, folded: Column, relation: Column) -> Column:
     return F.btrim(F.substring(text, F.lit(1), cases(pairs, length)), F.lit(" ?!.,;:"))
 
 
-_PREDICATE = "|".join(p for _, category, _, _, p in fixed.RULES if category == "predicate_boundary")
-_MODIFIER = next(p for _, category, _, _, p in fixed.RULES if category == "predicate_modifier")
-_PATTERN = {rule: pattern for rule, _, _, _, pattern in fixed.RULES}
+_PREDICATE = "|".join(p for _, category, _, p in fixed.RULES if category == "predicate_boundary")
+_MODIFIER = next(p for _, category, _, p in fixed.RULES if category == "predicate_modifier")
+_PATTERN = {rule: pattern for rule, _, _, pattern in fixed.RULES}
 
 
 def annotate_questions(df: DataFrame, column: str = "question", classifier=None) -> DataFrame:
@@ -201,7 +201,7 @@ def annotate_questions(df: DataFrame, column: str = "question", classifier=None)
     df = df.withColumn("_fm", matched_on)
     rules = kept([
         (has(F.col("_fk") if category == "question_relation" else F.col("_fm"), pattern), rule)
-        for rule, category, _, _, pattern in fixed.RULES
+        for rule, category, _, pattern in fixed.RULES
     ])
     return df.withColumns({
         "subject": F.when(by_name, F.col("_nominal")).when(definition, F.col("_defined")).otherwise(parts["subject"]),

@@ -76,22 +76,22 @@ def validate(df: DataFrame, passages: DataFrame) -> tuple[DataFrame, DataFrame]:
     j = df.join(chosen, "selected_passage_id", "left").join(body, "_target", "left").join(unknown, "_row", "left")
     span = F.substring("_body", start + 1, end - start)
     error = (
-        F.when(F.col("question").isNull(), "question is required")
-        .when(F.length("question") > 2000, "text field exceeds 2000 characters")
+        F.when(F.col("question").isNull(), "the question is missing")
+        .when(F.length("question") > 2000, "the question is longer than 2000 characters")
         .when(_longest(df, "selected_passage_id", "corrected_passage_id") > 300, "an id is longer than 300 characters")
         .when(_longest(df, "note") > 4000, "the note is longer than 4000 characters")
-        .when(~F.col("feedback_type").isin([t for t in fixed.FEEDBACK_TYPES if t != "DOCUMENT_SUBMISSION"]), "unsupported feedback_type")
+        .when(~F.col("feedback_type").isin([t for t in fixed.FEEDBACK_TYPES if t != "DOCUMENT_SUBMISSION"]), "unknown type of feedback")
         .when(F.col("selected_passage_id").isNotNull() & F.col("_selected_known").isNull(),
-              F.concat(F.lit("unknown passage_id: "), F.col("selected_passage_id")))
-        .when(F.col("_unknown").isNotNull(), F.concat(F.lit("unknown passage_id: "), F.col("_unknown")))
-        .when((F.col("feedback_type") == "SPAN_CORRECTION") & ~any_fix, "span correction fields are required")
+              F.concat(F.lit("no such passage: "), F.col("selected_passage_id")))
+        .when(F.col("_unknown").isNotNull(), F.concat(F.lit("no such passage: "), F.col("_unknown")))
+        .when((F.col("feedback_type") == "SPAN_CORRECTION") & ~any_fix, "a span correction without a span")
         .when(any_fix & (F.col("_target").isNull() | F.col("corrected_answer").isNull() | start.isNull() | end.isNull()),
-              "corrected_passage_id, corrected_answer and offsets are required together")
-        .when(any_fix & F.col("_body").isNull(), F.concat(F.lit("unknown passage_id: "), F.col("_target")))
-        .when(any_fix & ((start < 0) | (end <= start) | (end > F.length("_body"))), "corrected span offsets are outside the passage")
+              "a correction needs its passage, answer and offsets")
+        .when(any_fix & F.col("_body").isNull(), F.concat(F.lit("no such passage: "), F.col("_target")))
+        .when(any_fix & ((start < 0) | (end <= start) | (end > F.length("_body"))), "the offsets lie outside the passage")
         .when(any_fix & (T.normalize_feedback(span) != T.normalize_feedback(F.col("corrected_answer"))),
-              "corrected_answer does not match the corpus span")
-        .when(~any_fix & F.col("corrected_passage_id").isNotNull(), "corrected_passage_id requires a corrected span")
+              "the answer is not the passage's text at the offsets")
+        .when(~any_fix & F.col("corrected_passage_id").isNotNull(), "a corrected passage without a span")
     )
     j = j.withColumn("error", error).withColumns({
         "corrected_passage_id": F.col("_target"), "corrected_answer": F.when(any_fix, span),
@@ -148,7 +148,7 @@ def by_status(df: DataFrame, status: str | None = None, limit: int | None = None
     """Newest first, optionally of one status; ``limit`` is clamped to 1..1000 as a listing page."""
     if status:
         if status.upper() not in fixed.FEEDBACK_STATUSES:
-            raise ValueError("invalid feedback status")
+            raise ValueError("no such status")
         df = df.where(F.col("status") == status.upper())
     df = df.orderBy(F.desc(time))
     return df if limit is None else df.limit(min(1000, max(1, int(limit))))

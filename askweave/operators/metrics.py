@@ -92,7 +92,7 @@ def report(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def require_rows(df: DataFrame) -> DataFrame:
     if df.isEmpty():
-        raise ValueError("Cannot evaluate an empty prediction set")
+        raise ValueError("no predictions to score")
     return df
 
 
@@ -227,7 +227,7 @@ def threshold_sweep(scored: DataFrame, margin: str = "score_margin", thresholds:
     if thresholds is None:
         thresholds = threshold_grid(scored, margin)
     if not thresholds:
-        raise ValueError("Threshold sweep requires at least one threshold")
+        raise ValueError("no thresholds given")
     yes = F.col("is_answerable")
     no_gold = (F.col("gold_words") == 0).cast("int")
     kept = _row_values(F.col("em"), F.col("f1"), yes, F.col("empty"))
@@ -242,7 +242,7 @@ def best_row(df: DataFrame, order: list[Column], by: list[str] | None = None) ->
 
 def select_threshold(sweep: DataFrame, metric: str = "reader_priority_score") -> DataFrame:
     if metric not in sweep.columns:
-        raise ValueError(f"Unknown threshold selection metric: {metric}")
+        raise ValueError(f"no such selection measure: {metric}")
     return best_row(sweep, [F.desc(metric), F.desc("answerable_f1"), F.desc("overall_f1"), F.asc("threshold")])
 
 

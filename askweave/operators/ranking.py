@@ -104,9 +104,9 @@ def inject_preferred(hits: DataFrame, preferred: DataFrame, limit: int, query: s
 
 def check_weights(**weights: float) -> None:
     if any(w < 0 for w in weights.values()):
-        raise ValueError("Ranking weights must be non-negative")
+        raise ValueError("a ranking weight is below zero")
     if abs(sum(weights.values()) - 1.0) > 1e-6:
-        raise ValueError("Ranking weights must sum to 1")
+        raise ValueError("ranking weights do not add up to 1")
 
 
 def combine(retrieval: Column, reader: Column, answer_type: Column, relation: Column | float = 0.0,

@@ -23,17 +23,17 @@ SALTS = 64
 
 def validate_retriever(method: str) -> str:
     if method == "pyserini":
-        raise ValueError("Retriever 'pyserini' is not implemented: no Lucene index is configured.")
+        raise ValueError("no Lucene index is set up for pyserini")
     if method not in fixed.RETRIEVERS:
-        raise ValueError(f"Retriever '{method}' is not supported.")
+        raise ValueError(f"unknown retriever: {method}")
     return method
 
 
 def validate_reader(name: str) -> str:
     if name in ("mock", "vibert"):
-        raise ValueError(f"Reader '{name}' is not implemented.")
+        raise ValueError(f"reader without an implementation: {name}")
     if name not in fixed.READERS:
-        raise ValueError(f"Reader '{name}' is not supported.")
+        raise ValueError(f"unknown reader: {name}")
     return name
 
 
@@ -338,7 +338,7 @@ def lexical_retrieve(docs: DataFrame, queries: DataFrame, k: int, method: str =
     remaining pairs in full.
     """
     if method not in ("bm25", "tfidf"):
-        raise ValueError(f"Retriever '{method}' is not supported.")
+        raise ValueError(f"unknown retriever: {method}")
     tok = tokenized(docs, doc_id, doc_text, title)
     terms = query_terms(queries, query_id, query_text)
     small = fits(terms)

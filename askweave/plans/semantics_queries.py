@@ -75,7 +75,7 @@ def rule_coverage(spark, d):
     """Matches and precision of every rule; rules without matches stay in the report."""
     q = Q.annotate_questions(framed(spark, d)).withColumn("expected", Q.weak_bucket(T.fold_words(F.col("question"), percent=False)))
     hits = q.select("expected", "subject", "predicate", "modifier", F.explode_outer("matched_rules").alias("rule_id")).where("rule_id is not null")
-    rules = spark.createDataFrame([(r, c, x, dsc) for r, c, x, dsc, _ in fixed.RULES], "rule_id string, category string, rule_relation string, description string")
+    rules = spark.createDataFrame([(r, c, x) for r, c, x, _ in fixed.RULES], "rule_id string, category string, rule_relation string")
     j = hits.join(F.broadcast(rules), "rule_id")
     good = (
         F.when(F.col("category") == "question_relation", F.col("rule_relation") == F.col("expected"))

@@ -77,10 +77,10 @@ SQL = {
     "fb_review_view": f"""WITH {STORE} SELECT feedback_id, coalesce(corrected_passage_id, selected_passage_id) AS shown_passage_id, length(text) AS passage_chars
         FROM st LEFT JOIN documents ON CAST(doc_id AS VARCHAR) = coalesce(corrected_passage_id, selected_passage_id)""",
     "fb_validate": f"""WITH {LOG}, j AS (SELECT lg.*, t.text AS body FROM lg LEFT JOIN documents t ON corrected_answer IS NOT NULL AND CAST(t.doc_id AS VARCHAR) = corrected_passage_id),
-        e AS (SELECT CASE WHEN selected_passage_id IS NOT NULL AND selected_passage_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM documents) THEN 'unknown passage_id: ' || selected_passage_id
-          WHEN corrected_answer IS NOT NULL AND body IS NULL THEN 'unknown passage_id: ' || corrected_passage_id
-          WHEN corrected_answer IS NOT NULL AND ce > length(body) THEN 'corrected span offsets are outside the passage'
-          WHEN corrected_answer IS NOT NULL AND lower({S.squeeze('substr(body, cs + 1, ce - cs)')}) <> corrected_answer THEN 'corrected_answer does not match the corpus span' ELSE 'ok' END AS result FROM j)
+        e AS (SELECT CASE WHEN selected_passage_id IS NOT NULL AND selected_passage_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM documents) THEN 'no such passage: ' || selected_passage_id
+          WHEN corrected_answer IS NOT NULL AND body IS NULL THEN 'no such passage: ' || corrected_passage_id
+          WHEN corrected_answer IS NOT NULL AND ce > length(body) THEN 'the offsets lie outside the passage'
+          WHEN corrected_answer IS NOT NULL AND lower({S.squeeze('substr(body, cs + 1, ce - cs)')}) <> corrected_answer THEN 'the answer is not the passage''s text at the offsets' ELSE 'ok' END AS result FROM j)
         SELECT result, count(*) AS count FROM e GROUP BY result""",
     "fb_trend_stream": f"WITH {LOG} " + _trend("lg", "1"),
     "fb_status_counts": f"WITH {STORE} SELECT status, count(*) AS rows, CAST(sum(w) AS BIGINT) AS submissions FROM st GROUP BY status",
