@@ -43,8 +43,9 @@ SEED = 42
 CHECK_SHINGLE = 5
 CHECK_BITS = 48
 CHECKS = ["c0", "c1", "c2", "c3"]
-#: Bits in which the word SimHashes of such texts may differ.
-WORD_BITS = 6
+#: Bits in which the SimHashes of such texts' word pairs may differ.
+PAIR = 2
+PAIR_BITS = 8
 #: Reference fingerprints of the distance table: hashes of their numbers.
 PIVOTS = tuple(xxhash.xxh64_intdigest(str(i).encode(), 7) for i in range(12))
 #: Rows that one meeting holds at most; larger ones are split into a grid of such cells.
@@ -80,13 +81,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def sketch(text: str | None) -> list[int]:
-    """The SimHash of a text's words, then 256 bits of its five-word shingles as four numbers."""
+    """The SimHash of a text's word pairs, then 256 bits of its five-word shingles as four numbers."""
     words = (text or "").encode().lower().split()
     if not words:
         return [0] * 5
     hashes = _shingle_hashes(words, CHECK_SHINGLE)
     mixed = [(hashes ^ (hashes >> np.uint64(31))) * np.uint64(m) for m in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
-    return [_majority(_shingle_hashes(words, 1))] + [_majority(x ^ (x >> np.uint64(29))) for x in mixed]
+    return [_majority(_shingle_hashes(words, PAIR))] + [_majority(x ^ (x >> np.uint64(29))) for x in mixed]
 
 
 @F.pandas_udf(LongType())
@@ -100,9 +101,9 @@ def sketches(texts: pd.Series) -> pd.Series:
 
 
 def block_count(rows: int, max_bits: int = MAX_BITS) -> int:
-    """Blocks a fingerprint is cut into: so many that few hundred rows share the value of a key on average."""
+    """Blocks a fingerprint is cut into: so many that a few thousand rows at most share the value of a key on average."""
     blocks = max_bits + 2
-    while blocks < 16 and 64 * (blocks - max_bits) // blocks < log2(max(rows, 2)) - 8:
+    while blocks < 16 and 64 * (blocks - max_bits) // blocks < log2(max(rows, 2)) - 12:
         blocks += 1
     return blocks
 
@@ -247,12 +248,12 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "do
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least.doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, max_bits: int = WORD_BITS, check_bits: int = CHECK_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, max_bits: int = PAIR_BITS, check_bits: int = CHECK_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near copies: that of the smallest id, null last.
 
     Near copies have a similarity of about 0.8 or more in five-word shingles.
-    SimHashes of their words, within ``max_bits`` bits, bring them together; 256
-    bits of their shingles verify them.  Rows equal in id and text are one row;
+    SimHashes of their word pairs, within ``max_bits`` bits, bring them together;
+    256 bits of their shingles verify them.  Rows equal in id and text are one row;
     null and blank texts are copies of each other.
     """
     bounded_batches(docs.sparkSession)

@@ -102,3 +102,18 @@ def test_quality_odd_rows(spark):
     got = Q.judged(docs, labels).collect()
     assert Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in got) == Counter((d, *measures_by_hand(t)) for d, t, _ in rows)
     assert Q.judged(docs.limit(0), labels).count() == 0 and Q.judged(docs, labels.limit(0)).count() == len(rows)
+
+
+def test_quality_against_sql_with_certified_cutoffs(spark):
+    folder = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    got = screen_queries.op6_quality_rules(spark, folder)
+    want = con.execute("SELECT " + ", ".join(got.columns) + f" FROM ({screen_queries.SQL['op6_quality_rules']})").fetchall()
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(want)
+    assert any(not r[-1] and not r[-2] for r in rows), "some cut-off is certified and used"
+    good = {r[0] for r in con.execute("SELECT doc_id FROM labels WHERE quality = 1").fetchall()}
+    lost = [r for r in rows if r[0] in good and not r[-2] and not r[-1]]
+    assert len(lost) <= Q.RISK * len(good)
