@@ -125,7 +125,7 @@ def test_feedback(spark):
     assert [r.feedback_id for r in feedback.export_corrections(store, passages).collect()] == ["f5"]
     good, bad = feedback.validate(feedback_frame(spark, [row(1, "SPAN_CORRECTION", "AB", 0, 2), row(2, "SPAN_CORRECTION", "zz", 0, 2), row(3, "BOGUS")]), passages)
     assert [(r.feedback_id, r.corrected_answer) for r in good.collect()] == [("f1", "ab")]
-    assert {r.feedback_id: r.error for r in bad.collect()} == {"f2": "corrected_answer does not match the corpus span", "f3": "unsupported feedback_type"}
+    assert {r.feedback_id: r.error for r in bad.collect()} == {"f2": "the answer is not the passage's text at the offsets", "f3": "unknown type of feedback"}
 
 
 def test_blind_spot(spark):
