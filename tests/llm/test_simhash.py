@@ -129,3 +129,36 @@ def test_one_of_each_odd_rows(spark):
     assert got.columns == docs.columns
     assert sorted((str(r["doc_id"]), (r["text"] or "")[:3]) for r in got.collect()) == [("1", ""), ("3", "a b"), ("4", "w0 "), ("5", "oth"), ("None", "q r")]
     assert S.one_of_each(docs.limit(0)).count() == 0
+
+
+def roots_of(texts, least=0.8):
+    sets = [five(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= least * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {find(i) for i in range(len(texts))}
+
+
+def test_texts_of_one_repeated_shingle_and_near_misses_stay(spark):
+    filler = "ha " * 120
+    texts = [filler + " ".join(f"{k}x{i}" for i in range(60)) for k in "ab"]
+    rng = random.Random(5)
+    for g in range(40):
+        base = [f"g{g}w{rng.randrange(10**6)}" for _ in range(300)]
+        for _ in range(3):  # pairs of 0.74, some of which a sketch takes for 0.8
+            copy = list(base)
+            for at in range(5, 300, 33):
+                copy[at] = f"e{rng.randrange(10**9)}"
+            texts.append(" ".join(copy))
+    kept = {r["doc_id"] for r in S.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == roots_of(texts) and len(kept) == len(texts)
