@@ -162,3 +162,32 @@ def test_texts_of_one_repeated_shingle_and_near_misses_stay(spark):
             texts.append(" ".join(copy))
     kept = {r["doc_id"] for r in S.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert kept == roots_of(texts) and len(kept) == len(texts)
+
+
+def edited(base, rng, block):
+    """A copy with a similarity just above 0.8, by words all over the text or by one block."""
+    copy, n = list(base), len(base)
+    if block:
+        size = int(n * rng.uniform(0.06, 0.10))
+        at = rng.randrange(n - size)
+        copy[at : at + size] = [f"e{rng.randrange(10**9)}" for _ in range(size)]
+    else:
+        for _ in range(int(n * rng.uniform(0.012, 0.022))):
+            copy[rng.randrange(n)] = f"e{rng.randrange(10**9)}"
+    return copy
+
+
+@pytest.mark.parametrize("block", [False, True])
+def test_recall_of_scattered_and_block_edits(spark, block):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(150):
+        base = [rng.choice(words) for _ in range(rng.randrange(150, 400))]
+        texts += [" ".join(base), " ".join(edited(base, rng, block))]
+    want = roots_of(texts)
+    assert len(want) < len(texts) - 100
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in S.one_of_each(frame).collect()} == want
+    groups = S._groups(frame.select("doc_id", F.xxhash64("doc_id").alias("doc_key"), S.sketches("text").alias("x")).select("doc_id", "doc_key", "x.*"))
+    assert S.near_links(groups, frame.select(F.xxhash64("doc_id").alias("doc_key"), "text"), cell_rows=1).count() >= len(texts) - len(want)
