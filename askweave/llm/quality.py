@@ -22,8 +22,6 @@ from askweave.llm.common import materialize, trimmed, words
 
 RISK = 0.05
 DOUBT = 0.05
-#: Labelled rows the cut-offs are fitted on at most (in expectation; chosen by a hash of the id).
-LABELLED_ROWS = 200_000
 #: Rules and the cut-offs tested for each.
 GRID = {
     "symbols": (0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.8),
@@ -98,11 +96,9 @@ def binomial_tail(k: Column, n: Column, rate: float) -> Column:
     return F.when(k > n * rate, 1.0).otherwise(F.least(F.lit(1.0), F.aggregate(terms, zero, add, lambda a: a["sum"])))
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, doubt: float = DOUBT, labelled_rows: int = LABELLED_ROWS) -> DataFrame:
-    """``(stratum, rule, cutoff, good, rejected_good, rejected_bad)``: the chosen certified cut-offs."""
+def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, doubt: float = DOUBT) -> DataFrame:
+    """``(stratum, rule, cutoff, good, rejected_good, rejected_bad)``: the chosen certified cut-offs, from all labelled rows."""
     labels = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    share = min(1.0, labelled_rows / max(1, labels.count()))
-    labels = labels.where(F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     rows = measured.where(~base_failed()).join(labels, "doc_id").select(
         "stratum", "quality", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), s.alias("score"), F.array(*map(F.lit, GRID[r])).alias("grid")) for r, s in scores().items()])).alias("x"))
     rows = rows.select("stratum", "quality", "x.rule", "x.score", F.explode("x.grid").alias("cutoff"))

@@ -38,7 +38,6 @@ _SCORES = {
 }
 _CUTS = ", ".join(f"('{rule}', CAST({c} AS DOUBLE))" for rule, cuts in GRID.items() for c in cuts)
 _SCORE_ROWS = " UNION ALL ".join(f"SELECT r, doc_id, lang, failed, '{rule}' AS rule, {score} AS score FROM m" for rule, score in _SCORES.items())
-# The sample of labels, taken beyond 200 000 of them, is not repeated here.
 SQL["op6_quality_rules"] = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
 win AS (SELECT r, i, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),

@@ -94,6 +94,16 @@ def test_cutoffs_are_certified_and_chosen(spark):
     assert all(kept[i] == (i % 10 != 0 or i >= 5900) for i in range(6000))
 
 
+def test_all_labels_count(spark):
+    n = 220_000
+    bad = F.col("doc_id") % 10 == 0
+    ids = spark.range(n).withColumnRenamed("id", "doc_id")
+    measured = ids.select("doc_id", F.lit("a").alias("stratum"), F.lit(100).alias("n_words"), F.lit(500).alias("word_chars"), F.when(bad, 30).otherwise(0).alias("n_symbols"),
+                          *[F.lit(v).alias(c) for c, v in (("n_dup_lines", 0), ("n_repeat_words", 0), ("n_lines", 1), ("n_capitals", 0))])
+    (row,) = [r for r in Q.cutoffs(measured, ids.select("doc_id", (~bad).cast("int").alias("quality"))).collect() if r["rule"] == "symbols"]
+    assert (row["good"], row["rejected_good"], row["rejected_bad"]) == (n - n // 10, 0, n // 10)
+
+
 def test_quality_odd_rows(spark):
     long = "\n".join(f"line {i} of the text" for i in range(30000))
     rows = [(1, None, None), (2, "", "x"), (3, "a a a a", "x"), (None, long, "x"), (4, "same\nsame\n\n \nsame", None), (4, "same\nsame\n\n \nsame", None), (5, "x y z x y z q", "x"), (6, "é#É|", "x")]
