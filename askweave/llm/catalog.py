@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("simhash_queries", "layout_queries", "screen_queries", "text_queries", "line_queries", "token_queries")
+MODULES = ("simhash_queries", "layout_queries", "screen_queries", "text_queries", "line_queries", "token_queries", "audit_queries")
 
 
 def llm_queries() -> dict:
