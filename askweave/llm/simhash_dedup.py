@@ -17,10 +17,6 @@ the links without comparing all fingerprints with each other:
 
 A meeting of rows returns a spanning forest of its links, never the links
 themselves, so that a group of thousands of near copies stays linear in output.
-
-The pipeline's near copies are defined by the Jaccard similarity of five-word
-shingles.  Minima of their hashes (MinHash) bring texts together, and each link is
-verified by the distinct shingles of both texts.
 """
 
 from __future__ import annotations
@@ -34,31 +30,18 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import LongType
 
 from askweave.llm.common import bounded_batches, hot_join, materialize
 from askweave.llm.graph import components
-from askweave.session import broadcast_if_fits
 
 SHINGLE = 4
 MAX_BITS = 4
 SEED = 42
-#: The corpus rule: near copies have at least this Jaccard similarity of distinct five-word shingles.
-NEAR_SHINGLE = 5
-SIMILARITY = 0.8
-#: Bands of minima that bring near copies together; a pair of similarity s shares none
-#: with a chance of (1 - s**BAND)**BANDS, which is 0.00003 at 0.8.
-BAND = 4
-BANDS = 20
-#: Of the BAND * BANDS minima so many agree where a pair is tried first, and where it is
-#: tried at all (at a similarity of 0.8 fewer agree with a chance of about 0.0000001).
-LIKELY = 66
-POSSIBLE = 44
 #: Reference fingerprints of the distance table: hashes of their numbers.
 PIVOTS = tuple(xxhash.xxh64_intdigest(str(i).encode(), 7) for i in range(12))
 #: Rows that one meeting holds at most; larger ones are split into a grid of such cells.
 CELL_ROWS = 4096
-_FACTORS = np.array([xxhash.xxh64_intdigest(str(i).encode(), 11) | 1 for i in range(BAND * BANDS)], np.uint64)
 #: One fingerprint in so many is counted to find meetings that need splitting.
 PROBE = 16
 
@@ -89,48 +72,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return _majority(_shingle_hashes(words, shingle)) if words else 0
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """The sorted hashes of a text's distinct five-word shingles; of the whole text where it has fewer words."""
-    words = (text or "").encode().lower().split()
-    return np.unique(_shingle_hashes(words, NEAR_SHINGLE)) if words else np.array([], "<u8")
-
-
-def sketch(text: str | None) -> tuple[int, bytes, list[int]]:
-    """A name of a text's shingle set, a byte of each of its minima, and a key of each band of minima."""
-    shingles = shingle_set(text)
-    least = np.full(len(_FACTORS), 2**64 - 1, np.uint64)
-    for at in range(0, len(shingles), 4096):
-        least = np.minimum(least, (shingles[at : at + 4096, None] * _FACTORS).min(0))
-    keys = np.array([xxhash.xxh64_intdigest(least[i * BAND : (i + 1) * BAND].tobytes(), i) for i in range(BANDS)] + [xxhash.xxh64_intdigest(shingles.tobytes(), SEED)], np.uint64).view(np.int64).tolist()
-    return keys[-1], (least >> np.uint64(32)).astype(np.uint8).tobytes(), keys[:-1]
-
-
 @F.pandas_udf(LongType())
 def simhash(texts: pd.Series) -> pd.Series:
     return pd.Series([fingerprint(x) for x in texts], dtype="int64")
 
 
-@F.pandas_udf(StructType([StructField("node", LongType()), StructField("marks", BinaryType()), StructField("keys", ArrayType(LongType()))]))
-def sketches(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([sketch(x) for x in texts], columns=["node", "marks", "keys"])
-
-
-@F.pandas_udf(BinaryType())
-def shingle_bytes(texts: pd.Series) -> pd.Series:
-    return pd.Series([shingle_set(x).tobytes() for x in texts], dtype=object)
-
-
-@F.pandas_udf(DoubleType())
-def jaccard(left: pd.Series, right: pd.Series) -> pd.Series:
-    """The similarity of two shingle sets."""
-    def of(a: bytes, b: bytes) -> float:
-        x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return both / max(1, len(x) + len(y) - both)
-
-    return pd.Series([of(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")
-
-
 def block_count(rows: int, max_bits: int = MAX_BITS) -> int:
     """Blocks a fingerprint is cut into: so many that a few thousand rows at most share the value of a key on average."""
     blocks = max_bits + 2
@@ -199,30 +145,6 @@ def forest(key: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndarray,
     return np.array(out_a, int), np.array(out_b, int)
 
 
-def agreeing(key: np.ndarray, marks: np.ndarray, root: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of equal ``key`` to be verified; rows come sorted by key.
-
-    Without ``root``, a spanning forest of the pairs that agree in ``LIKELY``
-    marks; with it, all pairs of different roots that agree in ``POSSIBLE`` marks.
-    """
-    n = len(key)
-    own = np.arange(n) if root is None else root
-    left = np.arange(n - 1)
-    shift = 1
-    while len(left):
-        left = left[left + shift < n]
-        left = left[key[left] == key[left + shift]]
-        a = left[own[left] != own[left + shift]]
-        b = a + shift
-        ok = (marks[a] == marks[b]).sum(1) >= (LIKELY if root is None else POSSIBLE)
-        a, b = a[ok], b[ok]
-        if root is None:
-            a, b = (np.array(x, int) for x in _join_up(own, a, b))
-        if len(a):
-            yield a, b
-        shift += 1
-
-
 def _fingerprint_links(max_bits: int):
     def link(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         node = rows["node"].to_numpy()
@@ -232,13 +154,6 @@ def _fingerprint_links(max_bits: int):
     return link
 
 
-def _text_links(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    node = rows["node"].to_numpy()
-    marks = np.frombuffer(b"".join(rows["marks"]), np.uint8).reshape(len(rows), -1)
-    for a, b in agreeing(rows["cell"].to_numpy(), marks, rows["root"].to_numpy() if "root" in rows else None):
-        yield pd.DataFrame({"a": node[a], "b": node[b]})
-
-
 def _meetings(link: Callable[[pd.DataFrame], Iterator[pd.DataFrame]]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[pd.DataFrame] = []
@@ -290,47 +205,10 @@ def links(nodes: DataFrame, rows: int, max_bits: int = MAX_BITS, blocks: int | N
     return met.sortWithinPartitions("cell", first).mapInPandas(_meetings(_fingerprint_links(max_bits)), "a long, b long")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose shingle sets have the wanted similarity; ``nodes`` has a row of each set, ``docs`` its text."""
-    pairs = materialize(pairs.distinct(), "simhash-pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
-    wanted = materialize(ends.join(nodes.select("node", "least.doc_key"), "node"), "simhash-wanted")
-    texts = docs.join(broadcast_if_fits(wanted), "doc_key").select("node", "n", "text").dropDuplicates(["node"])
-    sets = materialize(texts.select("node", "n", shingle_bytes("text").alias("shingles")), "simhash-sets")
-    total = pairs.count()
-    for end, other in (("a", "b"), ("b", "a")):
-        pairs = hot_join(pairs, sets.select(F.col("node").alias(end), F.col("shingles").alias(f"set_{end}"), "n"), end, "n", total, F.xxhash64(other), "inner")
-    return materialize(pairs.where(jaccard("set_a", "set_b") >= similarity - 1e-9).select("a", "b"), "simhash-verified")
-
-
-def near_links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Verified links ``(a, b)`` that join all near copies among ``nodes(node, least, marks, keys)`` that share a band.
-
-    First the links of a forest of likely pairs are verified.  Then every possible
-    pair that the verified ones leave apart is verified as well, so that a link
-    that fails costs no other.
-    """
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialize(shared.withColumn("chunks", F.when(F.col("n") > cell_rows, F.ceil(F.col("n") * 2 / cell_rows)).cast("int")), "simhash-shared")
-    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()["total"]
-    met = hot_join(nodes.select("node", "marks", F.explode("keys").alias("key")), shared, "key", "n", total, F.xxhash64("node"), "inner").withColumn("chunk", _chunk())
-    met = materialize(met.select("node", "marks", F.explode(_cells(F.col("key"), F.col("chunks"), F.col("chunk"))).alias("cell")), "simhash-met")
-    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(total / 1_000_000))
-
-    def pairs(rows: DataFrame) -> DataFrame:
-        return rows.repartition(parts, "cell").sortWithinPartitions("cell", "node").mapInPandas(_meetings(_text_links), "a long, b long")
-
-    sure = _verified(pairs(met), nodes, docs, similarity)
-    star = components(sure, "simhash-sure").withColumnRenamed("node", "member")
-    apart = met.join(star, F.col("node") == F.col("member"), "left").withColumn("root", F.coalesce("root", "node")).drop("member")
-    return sure.unionByName(_verified(pairs(apart), nodes, docs, similarity))
-
-
 def _groups(prints: DataFrame) -> DataFrame:
     """``prints(doc_id, doc_key, node, ...)`` with one row of each node: its first row's place, and its ``n`` rows."""
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "doc_key")
-    carried = [F.first(c).alias(c) for c in ("fp", "marks", "keys") if c in prints.columns]
+    carried = [F.first(c).alias(c) for c in ("fp", "marks", "size", "keys") if c in prints.columns]
     return materialize(prints.groupBy("node").agg(F.min(place).alias("least"), F.count("*").alias("n"), *carried), "simhash-groups")
 
 
@@ -363,20 +241,3 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "do
     named = _named(groups, links(groups.select("node", "fp"), size["rows"], max_bits))
     out = hot_join(prints, named, "node", "n", size["total"], F.struct("doc_id", "doc_key"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least.doc_id").alias("component_id"))
-
-
-def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near copies: that of the smallest id, null last.
-
-    Near copies have a Jaccard similarity of ``similarity`` or more in distinct
-    five-word shingles, by count, and groups are joined by such pairs.  A text of
-    fewer words is its own shingle.  Rows equal in id and text are one row; null
-    and blank texts are copies of each other.
-    """
-    bounded_batches(docs.sparkSession)
-    keyed = docs.select(F.col(id_col).alias("doc_id"), _key(id_col, text_col).alias("doc_key"), F.col(text_col).alias("text"))
-    groups = _groups(materialize(keyed.select("doc_id", "doc_key", sketches("text").alias("x")).select("doc_id", "doc_key", "x.*"), "simhash-sketches"))
-    named = _named(groups, near_links(groups, keyed.select("doc_key", "text"), similarity))
-    stay = materialize(named.select(F.col("least.doc_key").alias("_stays")).distinct(), "simhash-stay")
-    rows = docs.withColumn("_doc_key", _key(id_col, text_col))
-    return rows.join(stay, F.col("_doc_key") == F.col("_stays"), "left_semi").dropDuplicates(["_doc_key"]).drop("_doc_key")

@@ -94,100 +94,3 @@ def test_odd_rows(spark):
 @pytest.mark.parametrize("text,want", [("Ab Cd", "ab cd"), ("É É", "É É")])
 def test_lower_case_is_ascii_only(text, want):
     assert S.fingerprint(text) & (2**64 - 1) == xxhash.xxh64_intdigest(want.encode(), 42)
-
-
-def five(text):
-    words = (text or "").lower().split()
-    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
-
-
-def test_one_of_each_against_exact_similarity(spark):
-    rng = random.Random(9)
-    words = [f"w{i}" for i in range(3000)]
-    texts, group = [], []
-    for g in range(60):
-        base = [rng.choice(words) for _ in range(rng.choice([60, 200, 400]))]
-        for _ in range(rng.choice([1, 1, 3, 6])):
-            copy = list(base)
-            for _ in range(rng.randrange(0, max(1, len(base) // 80) + 1)):
-                copy[rng.randrange(len(copy))] = rng.choice(words)
-            texts.append(" ".join(copy))
-            group.append(g)
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    kept = {r["doc_id"] for r in S.one_of_each(docs).collect()}
-    firsts = {min(i for i, g in enumerate(group) if g == k) for k in set(group)}
-    assert firsts <= kept, "clean documents stay"
-    extra = len(kept - firsts)
-    assert extra <= 0.05 * (len(texts) - len(firsts)), extra
-
-
-def test_one_of_each_odd_rows(spark):
-    long = " ".join(f"w{i}" for i in range(40000))
-    rows = [(2, None), (1, ""), (3, "a b"), (3, "a b"), (None, "q r s"), (None, "q r s"), (None, long), (4, long + " x"), (5, "other words here")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("clash")).withColumn("bits", F.lit(1))
-    got = S.one_of_each(docs)
-    assert got.columns == docs.columns
-    assert sorted((str(r["doc_id"]), (r["text"] or "")[:3]) for r in got.collect()) == [("1", ""), ("3", "a b"), ("4", "w0 "), ("5", "oth"), ("None", "q r")]
-    assert S.one_of_each(docs.limit(0)).count() == 0
-
-
-def roots_of(texts, least=0.8):
-    sets = [five(t) for t in texts]
-    root = list(range(len(texts)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(texts)):
-        for j in range(i):
-            both = len(sets[i] & sets[j])
-            if both >= least * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    return {find(i) for i in range(len(texts))}
-
-
-def test_texts_of_one_repeated_shingle_and_near_misses_stay(spark):
-    filler = "ha " * 120
-    texts = [filler + " ".join(f"{k}x{i}" for i in range(60)) for k in "ab"]
-    rng = random.Random(5)
-    for g in range(40):
-        base = [f"g{g}w{rng.randrange(10**6)}" for _ in range(300)]
-        for _ in range(3):  # pairs of 0.74, some of which a sketch takes for 0.8
-            copy = list(base)
-            for at in range(5, 300, 33):
-                copy[at] = f"e{rng.randrange(10**9)}"
-            texts.append(" ".join(copy))
-    kept = {r["doc_id"] for r in S.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert kept == roots_of(texts) and len(kept) == len(texts)
-
-
-def edited(base, rng, block):
-    """A copy with a similarity just above 0.8, by words all over the text or by one block."""
-    copy, n = list(base), len(base)
-    if block:
-        size = int(n * rng.uniform(0.06, 0.10))
-        at = rng.randrange(n - size)
-        copy[at : at + size] = [f"e{rng.randrange(10**9)}" for _ in range(size)]
-    else:
-        for _ in range(int(n * rng.uniform(0.012, 0.022))):
-            copy[rng.randrange(n)] = f"e{rng.randrange(10**9)}"
-    return copy
-
-
-@pytest.mark.parametrize("block", [False, True])
-def test_recall_of_scattered_and_block_edits(spark, block):
-    rng = random.Random(6)
-    words = [f"w{i}" for i in range(3000)]
-    texts = []
-    for _ in range(150):
-        base = [rng.choice(words) for _ in range(rng.randrange(150, 400))]
-        texts += [" ".join(base), " ".join(edited(base, rng, block))]
-    want = roots_of(texts)
-    assert len(want) < len(texts) - 100
-    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r["doc_id"] for r in S.one_of_each(frame).collect()} == want
-    groups = S._groups(frame.select("doc_id", F.xxhash64("doc_id").alias("doc_key"), S.sketches("text").alias("x")).select("doc_id", "doc_key", "x.*"))
-    assert S.near_links(groups, frame.select(F.xxhash64("doc_id").alias("doc_key"), "text"), cell_rows=1).count() >= len(texts) - len(want)
