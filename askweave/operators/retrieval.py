@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from askweave.functions import fixed
 from askweave.functions import text as T
 from askweave.operators import ranking
-from askweave.operators.text_index import Statistics, postings, query_terms, statistics, tokenized
+from askweave.operators.text_index import Statistics, maybe_broadcast, postings, query_terms, statistics, tokenized
 from askweave.session import fits, materialize
 
 VARIANTS = ("binary", "okapi", "l", "plus", "lucene")
@@ -342,23 +342,25 @@ def lexical_retrieve(docs: DataFrame, queries: DataFrame, k: int, method: str =
     tok = tokenized(docs, doc_id, doc_text, title)
     terms = query_terms(queries, query_id, query_text)
     small = fits(terms)
-    pairs = _boosted_pairs(tok, terms, method, small)
+    # Stored: the k-th score and the pairs that can reach it are two passes over them.
+    pairs = materialize(_boosted_pairs(tok, terms, method, small), "lexical-pairs")
     best = ranking.top_k(pairs.select("doc_id", "query_id", F.col("partial").alias("score")), k)
-    floor = materialize(best.groupBy("query_id").agg(
+    floor = best.groupBy("query_id").agg(
         F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("floor")
-    ), "floor")
+    )
     bound = PHRASE_LIMIT + F.when(F.col("complete"), LEAD_LIMIT).otherwise(0.0)
-    alive = pairs.join(F.broadcast(floor) if small else floor, "query_id").where(
+    alive = materialize(pairs.join(F.broadcast(floor) if small else floor, "query_id").where(
         F.col("partial") + bound >= F.col("floor") - 1e-5
-    )
+    ), "lexical-alive")
     arrays = query_arrays(queries, query_id, query_text)
-    bodies = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_text), F.lit("")).alias("text"),
-                         F.coalesce(F.col(title), F.lit("")).alias("title")).repartition("doc_id")
+    # Texts are folded and split only where a pair is alive.
+    bodies = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_text), F.lit("")).alias("text")).join(
+        maybe_broadcast(alive.select("doc_id").distinct()), "doc_id", "left_semi").repartition("doc_id")
     bodies = bodies.select(
         "doc_id", F.array_join(T.tokenize(F.col("text")), " ").alias("body"),
         T.raw_tokens(F.coalesce(F.get(T.split_sentences(F.col("text")), F.lit(0)), F.lit(""))).alias("lead_raw"),
     )
-    full = alive.join(bodies, "doc_id").join(F.broadcast(arrays) if small else arrays, "query_id")
+    full = alive.join(bodies, "doc_id").join(maybe_broadcast(arrays), "query_id")
     # A longer phrase can only occur where its first two words do, so each length
     # tests the positions the shorter one left over.
     full = full.withColumn("_p2", F.filter(

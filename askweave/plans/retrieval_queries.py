@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from askweave.functions import fixed
 from askweave.functions import questions as Q
 from askweave.functions import text as T
-from askweave.operators import chunking, dense, ranking, retrieval, text_index
-from askweave.session import materialize
+from askweave.operators import chunking, dense, impact_index, ranking, retrieval, text_index
+from askweave.session import materialize, new_path
 from askweave.sources.tables import table
 
 K = 10
@@ -149,6 +150,26 @@ def compare_retrievers(spark, d):
     return out
 
 
+def _stored(spark, d, counts, kind):
+    """An index of the documents, stored and loaded again."""
+    folder, docs = new_path(spark, "impacts"), table(spark, d, "documents")
+    impact_index.save_impacts(counts(docs), docs.count(), folder, kind)
+    return impact_index.load_impacts(spark, folder, kind)
+
+
+def tfidf_cosine_indexed(spark, d):
+    index = _stored(spark, d, impact_index.word_counts, "cosine")
+    return _named(impact_index.search(index, impact_index.asked_words(_asked(spark, d)), K))
+
+
+def tfidf_grams_indexed(buckets):
+    def run(spark, d):
+        index = _stored(spark, d, lambda docs: impact_index.gram_counts(docs, buckets), "product")
+        return _named(impact_index.search(index, impact_index.asked_grams(_asked(spark, d), buckets), K))
+
+    return run
+
+
 def candidate_counts(spark, d):
     return table(spark, d, "benchmark").select(
         "item_id", ranking.candidate_count((F.col("item_id") % 30).cast("int")).alias("candidates"))
@@ -167,6 +188,9 @@ QUERIES = {
     "tfidf_cosine_topk": tfidf_cosine,
     "tfidf_ngram_topk": tfidf_ngram,
     "tfidf_hashed_topk": tfidf_hashed,
+    "tfidf_cosine_indexed_topk": tfidf_cosine_indexed,
+    "tfidf_ngram_indexed_topk": tfidf_grams_indexed(None),
+    "tfidf_hashed_indexed_topk": tfidf_grams_indexed(fixed.HASH_BUCKETS),
     "lexical_bm25_boosted": lexical("bm25"),
     "lexical_tfidf_boosted": lexical("tfidf"),
     "passage_bm25_topk": passage_bm25,
