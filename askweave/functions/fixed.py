@@ -531,3 +531,22 @@ FU_STRENGTH = {
     "ATTRIBUTE": (0.90, "evidenced_height", "độ cao"), "COMPARISON": (0.76, "evidenced_comparison", "khác biệt"),
     "IDENTITY": (0.82, "evidenced_identity", "là"), "EVIDENCE_DETAIL": (0.70, "additional_grounded_fact", "chi tiết"),
 }
+
+# --- fixed values of subject focus and inference (folded word forms) ------------------
+SUBJECT_STRIP = " \t\r\n?!.,;:-\""
+SUBJECT_WORD_STRIP = "?!.,;:-\""
+SUBJECT_MOST = 120
+WEAK_SUBJECTS = ["", "dieu nay", "su kien nay", "viec nay", "no", "ho", "nguoi nay", "doi tuong", "tai lieu", "cau hoi"]
+ASKING_WORDS = ["la ai", "la gi", "o dau", "tai dau", "khi nao", "nhu the nao"]
+FOCUS_FRAMES = [
+    "chuc nang cua", "vai tro cua", "muc dich cua", "dac diem cua", "dac trung cua", "y nghia cua", "lich su cua", "nguon goc cua", "cau tao cua",
+    "thanh phan cua", "vi tri cua", "nguyen nhan cua", "hau qua cua",
+]
+SUBJECT_PATTERNS = [
+    r"^(.+?)\s+(?:la ai|la gi)$",
+    r"^(.+?)\s+(?:sinh|chao doi|ra doi|mat|qua doi)",
+    r"^(.+?)\s+(?:dien ra|xay ra|no ra|nam|toa lac)",
+    r"^(?:vi sao|tai sao)\s+(.+?)\s+(?:xay ra|phat trien|gia tang|suy giam)",
+    r"^(?:muc dich cua)\s+(.+?)\s+(?:la gi)?$",
+]
+PROBE_HITS = 5

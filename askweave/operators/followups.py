@@ -12,6 +12,10 @@ from pyspark.sql.types import DoubleType
 from askweave.functions import fixed
 from askweave.functions import text as T
 from askweave.functions.questions import cases, has
+from askweave.functions.subjects import subject_of
+from askweave.operators import ranking
+from askweave.operators.retrieval import bm25_over
+from askweave.operators.text_index import Statistics, query_terms
 from askweave.operators.validation import add_subject_consistency
 from askweave.session import materialize
 
@@ -89,9 +93,11 @@ def discover(contexts: DataFrame) -> DataFrame:
     """Follow-up opportunities: one row per rule that a sentence supports.
 
     ``contexts``: ``question_id, question, answer, subject, relation, passage_id,
-    context, relevance, is_selected``.
+    context, relevance, is_selected``.  The subject is reduced to its focus, or
+    inferred from the question where there is none.
     """
-    rows = materialize(contexts, "followup-contexts").where(F.coalesce(F.col("subject"), F.lit("")) != "").withColumn("_s", T.split_sentences(F.col("context")))
+    known = contexts.withColumn("subject", subject_of(F.col("subject"), F.col("question")))
+    rows = materialize(known, "followup-contexts").where(F.coalesce(F.col("subject"), F.lit("")) != "").withColumn("_s", T.split_sentences(F.col("context")))
     rows = rows.select("*", F.posexplode_outer("_s").alias("sentence_no", "sentence")).where("sentence is not null").drop("_s")
     rows = add_subject_consistency(rows)
     rows = rows.withColumns({
@@ -259,10 +265,93 @@ def gate(opportunities: DataFrame, asked: DataFrame | None = None, probe: DataFr
         tried = F.sum((weak_topic | weak).cast("int")).over(per.orderBy("ordinal"))
         confirmed = F.coalesce(F.col("_probe"), F.lit(False)) & (tried <= CONF["max_probes"])
     o = o.withColumn("_ok", confirmed)
-    return o.withColumn("rejection", F.when(F.col("ordinal") > CONF["max_internal_candidates"], "LOW_RANKING_SCORE").when(repeats, "SAME_RELATION")
-                        .when((F.col("similarity") >= CONF["surface_similarity"]) | (F.col("_same") > 1), "DUPLICATE_QUESTION")
-                        .when(F.col("subject_match") == "NO_SUBJECT_MATCH", "SUBJECT_RELEVANCE_LOW")
-                        .when(weak_topic & ~F.col("_ok"), "TOPIC_DRIFT").when(weak & ~F.col("_ok"), "ANSWERABILITY_LOW"))
+    o = o.withColumn("rejection", F.when(F.col("ordinal") > CONF["max_internal_candidates"], "LOW_RANKING_SCORE").when(repeats, "SAME_RELATION")
+                     .when((F.col("similarity") >= CONF["surface_similarity"]) | (F.col("_same") > 1), "DUPLICATE_QUESTION")
+                     .when(F.col("subject_match") == "NO_SUBJECT_MATCH", "SUBJECT_RELEVANCE_LOW")
+                     .when(weak_topic & ~F.col("_ok"), "TOPIC_DRIFT").when(weak & ~F.col("_ok"), "ANSWERABILITY_LOW"))
+    return _without_echoes(o)
+
+
+def _without_echoes(gated: DataFrame) -> DataFrame:
+    """A question almost equal to an accepted earlier one of its relation is a duplicate, too.
+
+    Which earlier ones are accepted depends on this very rule, so a question's few
+    candidates are gone through in order, inside an array.
+    """
+    o = materialize(gated, "followup-gated")
+    few = o.where(F.col("ordinal") <= CONF["max_internal_candidates"]).select("question_id", "_rel", "ordinal", "text")
+    earlier = few.select("question_id", "_rel", F.col("ordinal").alias("_before"), F.col("text").alias("_text"))
+    pairs = few.join(earlier, ["question_id", "_rel"]).where(F.col("_before") < F.col("ordinal"))
+    echoes = materialize(pairs.withColumn("_s", question_similarity(F.col("text"), F.col("_text"))), "followup-pairs").where(F.col("_s") >= CONF["surface_similarity"])
+    echoes = echoes.groupBy("question_id", "ordinal").agg(F.collect_set("_before").alias("_echoes"))
+    marked = o.select("question_id", "ordinal", "rejection").join(echoes, ["question_id", "ordinal"], "left")
+    listed = marked.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "rejection", F.coalesce("_echoes", F.array().cast("array<int>")).alias("echoes")))).alias("x"))
+    accepted = F.aggregate("x", F.array().cast("array<int>"), lambda done, x: F.when(
+        x["rejection"].isNull() & (F.size(F.array_intersect(x["echoes"], done)) == 0), F.concat(done, F.array(x["ordinal"]))).otherwise(done))
+    found = listed.select("question_id", F.explode("x").alias("x"), accepted.alias("done")).where(F.size(F.array_intersect("x.echoes", "done")) > 0)
+    found = found.select("question_id", "x.ordinal", F.lit(True).alias("_echo"))
+    later = F.col("rejection").isNull() | ~F.col("rejection").isin("LOW_RANKING_SCORE", "SAME_RELATION", "DUPLICATE_QUESTION")
+    joined = o.join(found, ["question_id", "ordinal"], "left")
+    return joined.withColumn("rejection", F.when(F.col("_echo") & later, "DUPLICATE_QUESTION").otherwise(F.col("rejection"))).drop("_echo")
+
+
+def probe(gated: DataFrame, passages: DataFrame, post: DataFrame, stats: Statistics, top_k: int = fixed.PROBE_HITS) -> DataFrame:
+    """``gated`` with its weak candidates confirmed or refused by a second retrieval round.
+
+    The first ``max_probes`` candidates of a question that fail on topic or
+    answerability become queries against the stored index ``post, stats``.  The
+    first hit decides that is the candidate's own passage, or that supports an
+    opportunity of the same relation about the subject; in the second case the
+    candidate takes that opportunity's place, text and evidence.  Candidates
+    without such a hit, and those beyond the limit, are rejected.
+
+    ``passages``: ``passage_id, context``; the index's ``doc_id`` is ``passage_id``.
+    """
+    gated = materialize(gated, "probe-gated")
+    weak = F.coalesce(F.col("rejection").isin("TOPIC_DRIFT", "ANSWERABILITY_LOW"), F.lit(False))
+    tried = gated.where(weak).withColumn("_try", F.row_number().over(Window.partitionBy("question_id").orderBy("ordinal"))).where(F.col("_try") <= CONF["max_probes"])
+    tried = materialize(tried.withColumn("probe_id", F.concat_ws(":", "question_id", "ordinal")).drop("_try"), "probe-tried")
+    hits = ranking.min_max(bm25_over(None, post, query_terms(tried, "probe_id", "text"), top_k, "binary", stats))
+    hits = materialize(hits.select(F.col("query_id").alias("probe_id"), F.col("doc_id").alias("_hit"), F.col("rank").alias("_rank"), F.col("score_norm").alias("_near")), "probe-hits")
+    own = hits.join(tried.select("probe_id", "passage_id"), "probe_id").where(F.col("_hit") == F.col("passage_id")).select("probe_id", "_rank", "_near")
+    asked = tried.select("probe_id", F.col("text").alias("question"), "subject", F.col("_rel").alias("_wanted"))
+    contexts = hits.join(asked, "probe_id").join(passages.select(F.col("passage_id").alias("_hit"), "context"), "_hit").select(
+        F.concat_ws(":", "probe_id", "_rank").alias("question_id"), "question", F.lit("").alias("answer"), "subject", F.lit(None).cast("string").alias("relation"),
+        F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("predicate"), F.col("_hit").alias("passage_id"), "context", F.lit(1.0).alias("relevance"),
+        F.lit(True).alias("is_selected"), F.lit(1).alias("position"))
+    options = discover(contexts).where(F.col("subject_match") != "NO_SUBJECT_MATCH").withColumn("_found", canonical(F.col("followup")))
+    fields = ["followup", "question_type", "group", "strength", "rule", "followup_target", "followup_predicate", "sentence", "subject_match", "subject_score", "topic", "passage_id"]
+    best = Window.partitionBy("question_id", "_found").orderBy(F.desc("strength"), F.desc("topic"), "sentence_no", "followup")
+    options = options.withColumn("_r", F.row_number().over(best)).where("_r = 1").select(
+        F.regexp_extract("question_id", r"^(.*):\d+$", 1).alias("probe_id"), F.regexp_extract("question_id", r":(\d+)$", 1).cast("int").alias("_rank"), "_found",
+        F.struct(*fields).alias("_new"))
+    other = options.join(asked.select("probe_id", "_wanted"), "probe_id").where(F.col("_found") == F.col("_wanted")).select("probe_id", "_rank", "_new")
+    none = F.lit(None).cast(other.schema["_new"].dataType)
+    either = own.select("probe_id", "_rank", "_near", none.alias("_new")).unionByName(other.select("probe_id", "_rank", F.lit(None).cast("double").alias("_near"), "_new"))
+    # At one rank the candidate's own passage goes before what it supports.
+    first = Window.partitionBy("probe_id").orderBy("_rank", F.col("_near").isNull())
+    decided = either.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("probe_id", "_near", "_new")
+    known = tried.select("question_id", "ordinal", "probe_id").join(decided, "probe_id", "left")
+    rows = gated.join(known, ["question_id", "ordinal"], "left")
+    rows = rows.withColumns({c: F.coalesce(F.col("_new")[c], F.col(c)) if c not in ("followup_target", "followup_predicate") else F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col(c)) for c in fields})
+    passed = F.col("_near").isNotNull() | F.col("_new").isNotNull()
+    rows = rows.withColumns({
+        "relevance": F.when(F.col("_new").isNotNull(), 1.0).otherwise(F.greatest("relevance", F.coalesce("_near", F.lit(0.0)))),
+        "topic": F.when(F.col("_near").isNotNull(), F.greatest("topic", F.lit(CONF["min_topic"]))).otherwise(F.col("topic"))})
+    score = F.least(F.lit(1.0), 0.58 * F.col("strength") + 0.22 * F.col("subject_score") + 0.14 * F.greatest("topic", F.lit(CONF["min_topic"])))
+    rows = rows.withColumns({"answerability": F.when(passed, F.round(score, 6)).otherwise(F.col("answerability")), "text": F.when(F.col("_new").isNotNull(), F.coalesce(followup_text(), "text")).otherwise(F.col("text"))})
+    refused = F.col("probe_id").isNotNull() & ~passed
+    rejection = F.when(passed, F.lit(None).cast("string")).when(refused, "BM25_PROBE_FAILED").otherwise(F.col("rejection"))
+    tier = F.when(rejection.isNull(), F.when(passed, "TIER_2_BM25").otherwise("TIER_1"))
+    return _without_echoes(rows.withColumns({"tier": tier, "rejection": rejection}).drop("probe_id", "_near", "_new"))
+
+
+def follow_ups_probed(contexts: DataFrame, passages: DataFrame, post: DataFrame, stats: Statistics, asked: DataFrame | None = None, limit: int = CONF["max_followups"]) -> DataFrame:
+    """Like :func:`follow_ups`, with a second retrieval round for weak candidates."""
+    passed = probe(gate(discover(contexts), asked), passages, post, stats).where("rejection is null")
+    scored = passed.withColumn("novelty", F.round(F.greatest(F.lit(0.0), 1.0 - F.col("similarity")), 6))
+    return rank(scored, min(CONF["max_followups"], max(0, limit))).select(
+        "question_id", "rank", "text", "followup", "tier", "passage_id", "answerability", "novelty", "relevance", "ranking_score")
 
 
 def rank(df: DataFrame, limit: int = CONF["max_followups"], query: str = "question_id") -> DataFrame:

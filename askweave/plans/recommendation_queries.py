@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from askweave.functions import questions as Q
+from askweave.functions import subjects
 from askweave.functions import text as T
-from askweave.operators import followups, retrieval
+from askweave.operators import followups, retrieval, text_index
 from askweave.plans.evaluation_queries import candidates
 from askweave.plans.semantics_queries import framed
-from askweave.session import materialize
+from askweave.session import materialize, new_path
 from askweave.sources.tables import table
 
 
@@ -74,4 +75,23 @@ def followup_funnel(spark, d):
     return followups.funnel(followups.gate(followups.discover(_contexts(spark, d))))
 
 
-QUERIES = {f.__name__: f for f in (related_questions, followup_rank, duplicate_questions, question_similarity, follow_ups, followup_funnel)}
+def subject_focus(spark, d):
+    """Focus and inferred subject of each framed user turn, cut to so many words that subjects of all lengths occur."""
+    q = framed(spark, d).withColumn("w", F.split("question", " "))
+    q = q.select("id", F.array_join(F.slice("w", F.lit(1), (1 + F.col("id") % 9).cast("int")), " ").alias("phrase"))
+    frame = F.element_at(F.array(*[F.lit(x) for x in ("{} là ai?", "Vai trò của {}", "{} sinh năm nào?", "Vì sao {} xảy ra?", "{}")]), (F.col("id") % 5 + 1).cast("int"))
+    q = q.withColumn("asked", F.replace(frame, F.lit("{}"), F.col("phrase")))
+    return q.select("id", subjects.focus_subject(F.col("asked")).alias("focus"), subjects.infer_subject(F.col("asked")).alias("inferred"))
+
+
+def follow_ups_probed(spark, d):
+    """Follow-ups of weakly grounded passages; a second search over all passages confirms them or not."""
+    weak = materialize(_contexts(spark, d), "probe-contexts").withColumns({"relevance": F.lit(0.1), "is_selected": F.lit(False)})
+    passages = weak.select("passage_id", "context").dropDuplicates(["passage_id"])
+    folder = new_path(spark, "probe-index")
+    text_index.save_index(text_index.tokenized(passages, "passage_id", "context"), folder)
+    post, stats = text_index.load_index(spark, folder)
+    return followups.follow_ups_probed(weak, passages, post, stats).select("question_id", "rank", "text", "followup", "tier", "passage_id", "ranking_score")
+
+
+QUERIES = {f.__name__: f for f in (related_questions, followup_rank, duplicate_questions, question_similarity, follow_ups, followup_funnel, subject_focus, follow_ups_probed)}

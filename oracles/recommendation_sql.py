@@ -3,6 +3,7 @@
 from askweave.functions import fixed
 from oracles import sqltext as S
 from oracles.evaluation_sql import CAND, PRED
+from oracles.semantics_sql import FRAMED
 
 _TOK = "regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}_]+')"
 _CONTENT = f"list_distinct(list_filter(string_split({S.fold_words('text')}, ' '), lambda t: length(t) > 1 AND t NOT IN {S.strs(fixed.FOLLOWUP_STOPWORDS)}))"
@@ -30,3 +31,33 @@ SQL = {
         SELECT "left", "right", round(c / (n + m - c), 6) AS similarity FROM p WHERE round(c / (n + m - c), 6) >= 0.6
         UNION ALL SELECT u.id, x.id, 1.0 FROM (SELECT {S.fold_words('text')} AS norm, conv_id * 1000 + turn AS id FROM conversations) x JOIN u USING (norm) WHERE norm <> '' AND x.id <> u.id""",
 }
+
+_STRIP, _WORD_STRIP = S.q(fixed.SUBJECT_STRIP.translate(str.maketrans("", "", "\t\r\n"))), S.q(fixed.SUBJECT_WORD_STRIP)
+
+
+def _folded(x: str) -> str:
+    return S.squeeze(S.fold_case(x))
+
+
+def _folded_list(x: str) -> str:
+    return f"list_transform({x}, lambda y: trim({_folded('y')}, {_WORD_STRIP}))"
+
+
+def _clean(p: str, source: str, value: str) -> str:
+    """Tables that end in ``p`` with a column ``p``: the cleaned subject of ``value``."""
+    asking = " OR ".join(f"array_to_string({p}_f[i:i + {len(a.split()) - 1}], ' ') = {S.q(a)}" for a in fixed.ASKING_WORDS)
+    content = f"list_filter({S.words(S.fold_case(p + '_s'))}, lambda t: length(t) > 1 AND t NOT IN {S.strs(fixed.FOLLOWUP_STOPWORDS)})"
+    return f"""{p}1 AS (SELECT *, trim({S.squeeze(f"coalesce({value}, '')")}, {_STRIP}) AS {p}_t FROM {source}),
+        {p}2 AS (SELECT *, string_split({p}_t, ' ') AS {p}_w FROM {p}1), {p}3 AS (SELECT *, {_folded_list(p + '_w')} AS {p}_f FROM {p}2),
+        {p}4 AS (SELECT *, coalesce(list_min(list_filter(range(1, len({p}_w) + 1), lambda i: {asking})), len({p}_w) + 1) AS {p}_c FROM {p}3),
+        {p}5 AS (SELECT *, trim(array_to_string({p}_w[1:{p}_c - 1], ' '), {_STRIP}) AS {p}_s FROM {p}4),
+        {p} AS (SELECT *, CASE WHEN {p}_s <> '' AND length({p}_s) <= {fixed.SUBJECT_MOST} AND {_folded(p + '_s')} NOT IN {S.strs(fixed.WEAK_SUBJECTS)} AND len({content}) > 0 THEN {p}_s END AS {p} FROM {p}5)"""
+
+
+_FORMS = " ".join(f"WHEN regexp_matches(g, {S.q(x)}) THEN regexp_extract(g, {S.q(x)}, 1)" for x in fixed.SUBJECT_PATTERNS)
+SQL["subject_focus"] = f"""WITH {FRAMED}, ph AS (SELECT id, array_to_string(string_split(question, ' ')[1:1 + id % 9], ' ') AS phrase FROM fq),
+    a0 AS (SELECT id, replace(['{{}} là ai?', 'Vai trò của {{}}', '{{}} sinh năm nào?', 'Vì sao {{}} xảy ra?', '{{}}'][id % 5 + 1], '{{}}', phrase) AS asked FROM ph),
+    a1 AS (SELECT *, trim({_folded("asked")}, ' ?!.,;:') AS g FROM a0), a2 AS (SELECT *, CASE {_FORMS} END AS form FROM a1),
+    {_clean("one", "a2", "asked")}, r0 AS (SELECT *, array_to_string(string_split(one, ' ')[4:], ' ') AS rest FROM one), {_clean("two", "r0", "rest")}, {_clean("inf", "two", "form")}
+    SELECT id, CASE WHEN one IS NULL THEN NULL WHEN array_to_string({_folded_list("string_split(one, ' ')[1:3]")}, ' ') IN {S.strs(fixed.FOCUS_FRAMES)} THEN coalesce(two, one) ELSE one END AS focus,
+      CASE WHEN form IS NOT NULL THEN inf END AS inferred FROM inf"""
