@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,8 +64,23 @@ def _steps(token: str) -> np.ndarray:
     return code[:-1] * STATES + code[1:]
 
 
-def _clear(spans: list[tuple[int, int, int]], a: int, b: int) -> bool:
-    return all(b <= s or e <= a for s, _, e in spans)
+class _Covered:
+    """Places that spans cover, merged and in order, so that a lookup is a binary search."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, _, b in spans:  # sorted by start
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def clear(self, a: int, b: int) -> bool:
+        """Whether no span overlaps the places from ``a`` to ``b``."""
+        at = bisect_left(self.starts, b)
+        return at == 0 or self.ends[at - 1] <= a
 
 
 def labelled_steps(text: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -72,7 +88,8 @@ def labelled_steps(text: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
     spans = base_spans(text)
     random = [_steps(m.group(2)) for m in ASSIGN.finditer(text) if len(m.group(2)) >= VALUE] if any(k == 0 for _, k, _ in spans) else []
     random += [_steps(text[a:b]) for a, k, b in spans if k > 0]
-    return random, [_steps(m.group()) for m in TOKEN.finditer(text) if _clear(spans, *m.span())]
+    covered = _Covered(spans)
+    return random, [_steps(m.group()) for m in TOKEN.finditer(text) if covered.clear(*m.span())]
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,7 +120,7 @@ def ratios(counts: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
     """Transition ratios from a sample of ``sample_docs`` documents, chosen by a hash of id and text."""
     share = min(1.0, sample_docs / max(1, docs.count()))
-    rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("_id")).where(F.pmod(F.xxhash64(F.lit(3), "_id", "text"), F.lit(1_000_000)) < round(share * 1_000_000)).select("text")
+    rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("_id")).where(F.xxhash64(F.lit(3), "_id", "text").cast("double") / 2.0**63 <= 2 * share - 1).select("text")
     counts = np.zeros((2, STATES * STATES), np.int64)
     for r in rows.mapInPandas(_count, "label int, cell int, n long").groupBy("label", "cell").agg(F.sum("n").alias("n")).collect():
         counts[r["label"], r["cell"]] = r["n"]
@@ -111,10 +128,10 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sampl
 
 
 def markov_spans(text: str, base: list[tuple[int, int, int]], ratio: np.ndarray) -> list[tuple[int, int, int]]:
-    found = []
+    found, covered = [], _Covered(base)
     for m in LONG_TOKEN.finditer(text):
         score = float(ratio[_steps(m.group())].sum())
-        if score >= LEAST_RATIO and score >= LEAST_MEAN * (m.end() - m.start() - 1) and _clear(base, *m.span()):
+        if score >= LEAST_RATIO and score >= LEAST_MEAN * (m.end() - m.start() - 1) and covered.clear(*m.span()):
             found.append((m.start(), 3, m.end()))
     return found
 

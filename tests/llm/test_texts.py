@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import string
+import time
 import zlib
 
 import numpy as np
@@ -59,6 +60,35 @@ def test_markov_finds_random_strings(spark):
     assert secrets.scan(docs.limit(0)).count() == 0
 
 
+def test_markov_spans_against_the_plain_ratio():
+    """Every long token, its ratio summed step by step, and every base span looked at for an overlap."""
+    rng = random.Random(8)
+    ratio = np.random.default_rng(8).normal(0.8, 1.5, secrets.STATES**2)
+    code = {c: i for i, c in enumerate(secrets.ALPHABET)}
+    text = " ".join(rng.choice(["token=" + "".join(rng.choice("0123456789abcdef") for _ in range(20)), "".join(rng.choice(secrets.ALPHABET) for _ in range(rng.randrange(10, 50))), "AKIA" + "A1" * 9, "word"]) for _ in range(600))
+    base, want = spans_by_hand(text), []
+    for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", text):
+        t = m.group()
+        score = sum(ratio[code[x] * secrets.STATES + code[y]] for x, y in zip(t, t[1:]))
+        if score >= secrets.LEAST_RATIO and score >= secrets.LEAST_MEAN * (len(t) - 1) and all(m.end() <= s or e <= m.start() for s, _, e in base):
+            want.append((m.start(), 3, m.end()))
+    assert secrets.markov_spans(text, base, ratio) == want and want
+
+
+def test_scan_time_is_linear():
+    """A text of 4 MB full of secrets and tokens: four times the text, about four times the work."""
+    ratio = np.zeros(secrets.STATES**2)
+    took = []
+    for n in (20_000, 80_000):
+        text = "token=0123456789abcdef plainIdentifierOfLength " * n
+        start = time.process_time()
+        base = secrets.base_spans(text)
+        secrets.markov_spans(text, base, ratio)
+        assert len(base) == 2 * n
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * took[0] + 0.5
+
+
 def test_gram_ids_of_pieces_and_misspellings(monkeypatch):
     whole = sorted(np.concatenate(list(toxicity.gram_ids("some words and others " * 50))).tolist())
     monkeypatch.setattr(toxicity, "PIECE", 100)
