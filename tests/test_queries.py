@@ -10,7 +10,7 @@ FOLDER = "/root/testdata/sf0.001"
 SAMPLE = ["tokenize_stats", "chunk_documents", "bm25_binary_topk", "bm25_plus_topk", "lexical_bm25_boosted", "dense_l2_topk", "rrf_hybrid", "gold_mapping",
           "threshold_sweep", "grid_search", "ablation", "fb_conflicts", "fb_heatmap", "gate_chain", "span_decode", "followup_rank",
           "window_merge", "fallback_errors", "char_span_tokens", "window_slices", "ranking_counts", "fb_status_counts", "fb_validate", "near_documents",
-          "compare_retrievers", "tfidf_hashed_topk"]
+          "compare_retrievers", "tfidf_hashed_topk", "tfidf_cosine_indexed_topk", "tfidf_ngram_indexed_topk", "gold_documents", "subject_focus"]
 
 
 @pytest.fixture(scope="module")
