@@ -8,7 +8,7 @@ from askweave.functions import answers as A
 from askweave.functions import fixed
 from askweave.functions import questions as Q
 from askweave.functions import text as T
-from askweave.operators import chunking, extraction, gates, ranking, retrieval, spans
+from askweave.operators import alignment, chunking, extraction, gates, ranking, retrieval, spans
 from askweave.plans import answering
 from askweave.plans.evaluation_queries import candidates, predictions
 from askweave.sources.tables import table
@@ -222,6 +222,34 @@ def span_integrity(spark, d):
     return spans.integrity_report(rows, ["split"])
 
 
+def line_alignment(spark, d):
+    """Every line of every document in a spelling that joins words in pairs by ``_``, and back."""
+    docs = table(spark, d, "documents").select("doc_id", "text").withColumn(
+        "model", F.regexp_replace(T.squeeze(F.col("text")), r"([^ ]+) ([^ ]+)", "$1_$2"))
+    rows = alignment.line_spans(alignment.add_tokens(alignment.add_alignment(docs, "text", "model"), "text"))
+    raw, model = F.col("raw_kept"), F.col("model_kept")
+    there = rows.select("doc_id", "aligned", "raw_kept", "model_kept", F.transform("spans", lambda s: F.struct(
+        s["start"].alias("raw_start"), s["end"].alias("raw_end"), alignment.map_span(raw, model, s["start"], s["end"]).alias("m"))).alias("there"))
+    back = there.select("doc_id", "aligned", F.explode_outer(F.transform("there", lambda s: F.struct(
+        s["raw_start"].alias("raw_start"), s["raw_end"].alias("raw_end"), s["m"].alias("m"),
+        alignment.map_span(model, raw, s["m"]["start"], s["m"]["end"]).alias("b")))).alias("x"))
+    return back.where("x is not null").select("doc_id", "aligned", "x.raw_start", "x.raw_end", F.col("x.m.start").alias("model_start"), F.col("x.m.end").alias("model_end"),
+                       F.col("x.b.start").alias("back_start"), F.col("x.b.end").alias("back_end"))
+
+
+def window_integrity(spark, d):
+    """Every line of every document as an annotated answer, without its final stop, in windows of 256 tokens."""
+    docs = alignment.line_spans(alignment.add_tokens(table(spark, d, "documents").select("doc_id", "text"), "text"))
+    docs = docs.withColumn("chars", alignment.characters(F.col("text")))
+
+    def stop(s):
+        last = F.get("chars", s["end"] - 1)
+        return ((last == ".") | (last == "!") | (last == "?")) & (s["end"] - s["start"] > 1)
+
+    docs = docs.withColumn("spans", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (s["end"] - stop(s).cast("int")).alias("end"))))
+    return alignment.window_reasons(docs, ["doc_id"], F.lit(12))
+
+
 def extract_phrases(spark, d):
     """Phrases from sentences that wrap the reply into the relation each question asks for."""
     asked = Q.annotate_questions(framed(spark, d)).select("id", "question", "types", "coarse_relation", "relation", "subject", "predicate")
@@ -249,4 +277,4 @@ def answer_questions(spark, d):
 QUERIES = {f.__name__: f for f in (
     question_types, question_semantics, relation_rules, parser_coverage, rule_coverage, answer_completeness, answer_type_score, span_checks,
     boundary_score, refine_spans, gate_chain, select_answer, representatives, merged_spans, fallback_errors, ranking_combine, span_decode,
-    window_merge, no_answer_margin, window_slices, char_span_tokens, span_integrity, extract_phrases, answer_questions)}
+    window_merge, no_answer_margin, window_slices, char_span_tokens, span_integrity, line_alignment, window_integrity, extract_phrases, answer_questions)}

@@ -15,6 +15,9 @@ _TAILS = "[" + ", ".join(S.q(t) for _, t in _FRAMES) + "]"
 FRAMED = f"""fq AS (SELECT conv_id * 1000 + turn AS id, {_HEADS}[(conv_id + turn) % 16 + 1] || {S.squeeze('text')}
     || {_TAILS}[(conv_id + turn) % 16 + 1] AS question FROM conversations WHERE role = 'user'), fw AS (SELECT id, {S.fold_words('question')} AS f FROM fq)"""
 
+LINES = f"""ch AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?s).')) AS c, generate_subscripts(regexp_extract_all(text, '(?s).'), 1) - 1 AS i FROM documents),
+  cl AS (SELECT *, regexp_matches(c, '{S.WS}') AS blank, sum(CASE WHEN c = chr(10) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS line FROM ch)"""
+
 
 def has(pattern: str) -> str:
     return f"regexp_matches(f, {S.q(pattern)})"
@@ -106,4 +109,22 @@ SQL = {
         g AS (SELECT id, count(*) AS n_tokens, min(s) AS lo, max(e) AS hi, count(*) FILTER (s <= id % 40) - 1 AS st, count(*) FILTER (e < id % 40 + 25) AS en FROM o GROUP BY id)
         SELECT id, CAST(n_tokens AS INTEGER) AS n_tokens, CAST(CASE WHEN id % 40 >= lo AND id % 40 + 25 <= hi THEN st ELSE 0 END AS INTEGER) AS start_token,
           CAST(CASE WHEN id % 40 >= lo AND id % 40 + 25 <= hi THEN en ELSE 0 END AS INTEGER) AS end_token FROM g""",
+    "line_alignment": f"""WITH {LINES}, sp AS (SELECT doc_id, line, min(i) AS s, max(i) + 1 AS e FROM cl WHERE NOT blank GROUP BY ALL),
+        md AS (SELECT doc_id, regexp_replace({S.squeeze('text')}, '([^ ]+) ([^ ]+)', '\\1_\\2', 'g') AS model FROM documents),
+        mc AS (SELECT doc_id, unnest(regexp_extract_all(model, '(?s).')) AS c, generate_subscripts(regexp_extract_all(model, '(?s).'), 1) - 1 AS i FROM md),
+        rk AS (SELECT doc_id, line, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM cl WHERE NOT blank AND c <> '_'),
+        mk AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM mc WHERE NOT regexp_matches(c, '{S.WS}') AND c <> '_'),
+        b AS (SELECT rk.doc_id, line, min(rk.i) AS bs, max(rk.i) + 1 AS be, min(mk.i) AS ms, max(mk.i) + 1 AS me FROM rk LEFT JOIN mk USING (doc_id, k) GROUP BY ALL)
+        SELECT doc_id, true AS aligned, CAST(s AS INTEGER) AS raw_start, CAST(e AS INTEGER) AS raw_end, CAST(coalesce(ms, -1) AS INTEGER) AS model_start,
+          CAST(coalesce(me, -1) AS INTEGER) AS model_end, CAST(coalesce(bs, -1) AS INTEGER) AS back_start, CAST(coalesce(be, -1) AS INTEGER) AS back_end
+        FROM sp LEFT JOIN b USING (doc_id, line)""",
+    "window_integrity": f"""WITH {LINES}, cp AS (SELECT *, lag(blank, 1, true) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM cl),
+        tk AS (SELECT *, sum(CASE WHEN before AND NOT blank THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS tok FROM cp),
+        n AS (SELECT doc_id, max(tok) + 1 AS total FROM tk GROUP BY 1),
+        sp AS (SELECT doc_id, line, min(i) AS s, max(i) + 1 AS e, min(tok) AS first, max(tok) AS last, arg_max(c, i) IN ('.', '!', '?') AND max(i) > min(i) AS cut FROM tk WHERE NOT blank GROUP BY ALL),
+        w AS (SELECT *, least(CASE WHEN total <= 240 THEN 0 ELSE CAST(ceil((total - 240) / 160.0) AS BIGINT) END, CAST(first AS BIGINT) // 160) AS latest FROM sp JOIN n USING (doc_id)),
+        v AS (SELECT *, last - first + 1 AS size, last < least(latest * 160 + 240, total) AS held FROM w)
+        SELECT doc_id, CAST(s AS INTEGER) AS start, CAST(CASE WHEN cut THEN e - 1 ELSE e END AS INTEGER) AS "end", CAST(size AS INTEGER) AS n_tokens, held AS covered,
+          CASE WHEN held AND NOT cut THEN NULL WHEN size > 240 THEN 'ANSWER_EXCEEDS_WINDOW' WHEN size > 80 THEN 'ANSWER_LONGER_THAN_STRIDE'
+            WHEN held THEN 'TOKENIZER_BOUNDARY' ELSE 'CHUNK_OR_TOKENIZER_MAPPING' END AS reason FROM v""",
 }
