@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from askweave.functions import fixed
 from askweave.functions import questions as Q
 from askweave.functions import text as T
-from askweave.operators import chunking, dense, impact_index, ranking, retrieval, text_index
+from askweave.operators import chunking, dense, impact_index, ranking, retrieval, text_index, vector_store
 from askweave.session import materialize, new_path
 from askweave.sources.tables import table
 
@@ -175,6 +175,24 @@ def candidate_counts(spark, d):
         "item_id", ranking.candidate_count((F.col("item_id") % 30).cast("int")).alias("candidates"))
 
 
+def letter_shares(text):
+    """Shares of six letters as a vector: an encoder of built-in functions that SQL can repeat."""
+    return F.transform(F.array(*[F.lit(c) for c in "aeinrs"]), lambda c: (F.length(text) - F.length(F.replace(text, c, F.lit("")))) / F.greatest(F.length(text), F.lit(1)))
+
+
+def stored_vectors(spark, d):
+    """Vectors of documents and items from a store that has encoded both and was then cut to the documents' texts."""
+    docs = table(spark, d, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
+    items = table(spark, d, "benchmark").select(F.lit("item").alias("kind"), F.col("item_id").alias("id"), "text")
+    path, model = new_path(spark, "vector-store"), "letter-shares-1"
+    vector_store.sync(docs, "text", letter_shares, path, model)
+    vector_store.sync(docs.unionByName(items), "text", letter_shares, path, model)
+    vector_store.compact(docs, "text", path, model)
+    rows = vector_store.with_vectors(docs.unionByName(items), "text", path, model)
+    return rows.select("kind", "id", vector_store.content_key(F.col("text"), model).alias("key"),
+                       *[F.round(F.get("vector", F.lit(i)).cast("double"), 4).alias(f"share_{c}") for i, c in enumerate("aeinrs")])
+
+
 QUERIES = {
     "term_freq": term_freq,
     "doc_freq_idf": doc_freq_idf,
@@ -203,4 +221,5 @@ QUERIES = {
     "preferred_injection": preferred,
     "compare_retrievers": compare_retrievers,
     "candidate_count": candidate_counts,
+    "stored_vectors": stored_vectors,
 }

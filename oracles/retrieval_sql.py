@@ -211,6 +211,10 @@ SQL = {
         SELECT 'tfidf' AS method, item_id, doc_id, rank FROM tf UNION ALL SELECT 'bm25', item_id, doc_id, rank FROM lex WHERE rank <= 3
         UNION ALL SELECT 'dense', item_id, doc_id, rank FROM den WHERE rank <= 3 UNION ALL SELECT 'hybrid', item_id, doc_id, rank FROM hyb""",
     "candidate_count": "SELECT item_id, CAST(least(40, greatest(item_id % 30, 20, 2 * (item_id % 30))) AS INTEGER) AS candidates FROM benchmark",
+    "stored_vectors": "SELECT kind, id, sha256('letter-shares-1' || chr(31) || coalesce(text, '')) AS key, " + ", ".join(
+        f"CASE WHEN known THEN round(CAST(CAST((length(t) - length(replace(t, '{c}', ''))) / CAST(greatest(length(t), 1) AS DOUBLE) AS FLOAT) AS DOUBLE), 4) END AS share_{c}" for c in "aeinrs")
+        + """ FROM (SELECT 'document' AS kind, doc_id AS id, text, coalesce(text, '') AS t, true AS known FROM documents
+        UNION ALL SELECT 'item', item_id, text, coalesce(text, ''), coalesce(text, '') IN (SELECT coalesce(text, '') FROM documents) FROM benchmark)""",
 }
 for _kind in ("cosine", "ngram", "hashed"):  # the stored index gives the same hits
     SQL[f"tfidf_{_kind}_indexed_topk"] = SQL[f"tfidf_{_kind}_topk"]
