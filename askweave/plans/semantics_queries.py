@@ -166,6 +166,32 @@ def fallback_errors(spark, d):
     return gates.fallback_errors(rows).groupBy("error").agg(F.count(F.lit(1)).alias("count"))
 
 
+def _location_rows(spark, d):
+    """Answers and candidates of all prediction rows, with the types of their framed questions."""
+    kind = F.col("candidate_id") % 5
+    rows = candidates(spark, d).select(
+        F.col("id").alias("question_id"), "candidate_id", "ranking_score", "relation_score", "passes_reader_threshold",
+        F.when(kind < 3, "sentence_fallback").otherwise("neural_span").alias("method"),
+        F.when(kind == 0, "whole_sentence").when(kind == 1, "location_pattern").alias("fallback_method"))
+    best = rows.where("passes_reader_threshold and ranking_score > 0.5").groupBy("question_id").agg(F.max_by(
+        F.struct("method", "fallback_method", "relation_score"), F.struct("ranking_score", -F.col("candidate_id"))).alias("b"))
+    types = Q.question_types(T.fold_words(F.col("question")))
+    asked = framed(spark, d).select(F.col("id").alias("question_id"), F.get(types, F.lit(0)).alias("question_type"))
+    answers = predictions(spark, d).select(F.col("id").alias("question_id"), "is_answerable", "gold_answer", "predicted_answer")
+    answers = answers.join(asked, "question_id").join(best, "question_id", "left").select(
+        *answers.columns, "question_type", F.col("b.method").alias("selected_method"), F.col("b.fallback_method").alias("selected_fallback_method"),
+        F.when(F.col("b.relation_score") > 0.3, "NAMED_ENTITY_LOCATION_CANDIDATE").alias("answer_type_reason"), (F.col("b.relation_score") > 0.6).alias("relation_evidence"))
+    return answers, rows
+
+
+def location_errors(spark, d):
+    return gates.location_errors(*_location_rows(spark, d))
+
+
+def location_counters(spark, d):
+    return gates.location_counters(_location_rows(spark, d)[0])
+
+
 def ranking_combine(spark, d):
     c = candidates(spark, d)
     signal = ranking.reader_signal(F.col("reader_score"), F.col("fallback_penalty"), F.col("boundary_score"), F.col("completeness_score"))
@@ -276,5 +302,5 @@ def answer_questions(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     question_types, question_semantics, relation_rules, parser_coverage, rule_coverage, answer_completeness, answer_type_score, span_checks,
-    boundary_score, refine_spans, gate_chain, select_answer, representatives, merged_spans, fallback_errors, ranking_combine, span_decode,
+    boundary_score, refine_spans, gate_chain, select_answer, representatives, merged_spans, fallback_errors, location_errors, location_counters, ranking_combine, span_decode,
     window_merge, no_answer_margin, window_slices, char_span_tokens, span_integrity, line_alignment, window_integrity, extract_phrases, answer_questions)}

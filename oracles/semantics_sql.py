@@ -70,6 +70,15 @@ def _best(key: str, limit: int, source: str = "sp") -> str:
             f"ORDER BY score DESC, s, e) AS r FROM (SELECT {key}, s, e, max(score) AS score FROM {source} GROUP BY ALL)) WHERE r <= {limit}")
 
 
+LOCATION = f"""WITH {PRED}, {CAND}, {FRAMED}, lc AS (SELECT id, candidate_id, ranking_score, relation_score, passes_reader_threshold,
+    CASE WHEN candidate_id % 5 < 3 THEN 'sentence_fallback' ELSE 'neural_span' END AS m,
+    CASE candidate_id % 5 WHEN 0 THEN 'whole_sentence' WHEN 1 THEN 'location_pattern' END AS fm FROM cand),
+  lb AS (SELECT * FROM lc WHERE passes_reader_threshold AND ranking_score > 0.5 QUALIFY row_number() OVER (PARTITION BY id ORDER BY ranking_score DESC, candidate_id) = 1),
+  la AS (SELECT pred.id, is_answerable AS yes, coalesce(predicted_answer, '') <> '' AS said, lb.m, coalesce(lb.fm, 'whole_sentence') = 'whole_sentence' AS whole, lb.relation_score AS rel,
+    lb.m IS NOT NULL AS chosen, {S.normalize_answer("CASE WHEN is_answerable THEN gold_answer ELSE '' END")} = {S.normalize_answer('predicted_answer')} AS ok,
+    EXISTS (SELECT 1 FROM lc WHERE lc.id = pred.id AND lc.m = 'sentence_fallback' AND coalesce(lc.fm, 'whole_sentence') = 'whole_sentence') AS broad
+    FROM pred JOIN fw USING (id) LEFT JOIN lb USING (id) WHERE string_split({_TYPES}, ',')[1] = 'LOCATION')"""
+
 SQL = {
     "question_types": f"WITH {FRAMED}, t AS (SELECT *, {_TYPES} AS types FROM fw) SELECT id, types, {_COARSE} AS coarse_relation, {_WEAK} AS weak_bucket FROM t",
     "answer_completeness": f"WITH {PRED} SELECT id, CAST({completeness('predicted_answer')} AS DOUBLE) AS score, CAST({completeness('context')} AS DOUBLE) AS context_score FROM pred",
@@ -127,4 +136,11 @@ SQL = {
         SELECT doc_id, CAST(s AS INTEGER) AS start, CAST(CASE WHEN cut THEN e - 1 ELSE e END AS INTEGER) AS "end", CAST(size AS INTEGER) AS n_tokens, held AS covered,
           CASE WHEN held AND NOT cut THEN NULL WHEN size > 240 THEN 'ANSWER_EXCEEDS_WINDOW' WHEN size > 80 THEN 'ANSWER_LONGER_THAN_STRIDE'
             WHEN held THEN 'TOKENIZER_BOUNDARY' ELSE 'CHUNK_OR_TOKENIZER_MAPPING' END AS reason FROM v""",
+    "location_errors": LOCATION + """ SELECT id AS question_id, 'LOCATION_PROPER_NOUN_FALSE_POSITIVE' AS error FROM la WHERE chosen AND rel > 0.3 AND NOT ok
+        UNION ALL SELECT id, 'LOCATION_RELATION_MISMATCH' FROM la WHERE chosen AND NOT coalesce(rel > 0.6, false)
+        UNION ALL SELECT id, 'LOCATION_WHOLE_SENTENCE_TOO_BROAD' FROM la WHERE chosen AND whole
+        UNION ALL SELECT id, 'LOCATION_PHRASE_NOT_EXTRACTED' FROM la WHERE NOT chosen AND broad UNION ALL SELECT id, 'LOCATION_FALSE_NEGATIVE' FROM la WHERE yes AND NOT said""",
+    "location_counters": LOCATION + """ SELECT count(*) AS count, count(*) FILTER (ok) AS correct, count(*) FILTER (said AND NOT ok) AS wrong_location, count(*) FILTER (NOT said) AS no_answer,
+        count(*) FILTER (NOT yes AND said) AS false_positive, count(*) FILTER (yes AND NOT said) AS false_negative,
+        count(*) FILTER (m = 'sentence_fallback' AND whole) AS whole_sentence_accepted, count(*) FILTER (m = 'sentence_fallback' AND NOT whole) AS phrase_accepted FROM la""",
 }
