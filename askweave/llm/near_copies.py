@@ -1,8 +1,11 @@
 """Near copies of documents: a Jaccard similarity of five-word shingles of 0.8 or more, by exact count.
 
-SimHash cannot propose such pairs: at a similarity of 0.8 two fingerprints differ
-in about ten of 64 bits.  Minima of shingle hashes (MinHash) propose instead, in
-three steps that keep every table linear in its input:
+Links of SimHash fingerprints come first, found by the operator of near duplicates
+(blocks bring rows together, distances to references discard, bits verify); each is
+checked by the shingles of both texts.  At a similarity of 0.8 two fingerprints
+differ in about ten of 64 bits, so SimHash misses such pairs.  Minima of shingle
+hashes (MinHash) propose what it missed, in three steps that keep every table linear
+in its input:
 
 1. *Likely links.* Texts that share a band of minima meet.  A meeting returns a
    spanning forest of the pairs whose minima agree as those of near copies do, and
@@ -32,7 +35,7 @@ from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, Lo
 
 from askweave.llm.common import bounded_batches, hot_join, materialize
 from askweave.llm.graph import components
-from askweave.llm.simhash_dedup import SEED, _groups, _join_up, _key, _named, _shingle_hashes
+from askweave.llm.simhash_dedup import SEED, _groups, _join_up, _key, _named, _shingle_hashes, links, simhash
 from askweave.session import broadcast_if_fits
 
 SHINGLE = 5
@@ -237,8 +240,24 @@ def _meeting_cells() -> Column:
             .otherwise(F.array_distinct(F.concat(among_all, as_minor))))
 
 
-def near_links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Links ``(a, b)`` that join all near copies among ``nodes(node, least, marks, size, keys)`` that share a band."""
+def simhash_links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links ``(a, b)`` of SimHash among ``nodes(node, least, fp)`` that have the wanted similarity.
+
+    Nodes of one fingerprint hang on the smallest of them; fingerprints are linked
+    by the near-duplicate operator's forest.
+    """
+    prints = materialize(nodes.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("n")), "copies-prints")
+    size = prints.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
+    heads = prints.where("n > 1").select("fp", F.col("node").alias("b"), "n")
+    same = hot_join(nodes.select("node", "fp"), heads, "fp", "n", size["total"], F.xxhash64("node"), "inner").where("node <> b")
+    return _verified(same.select(F.col("node").alias("a"), "b").unionByName(links(prints.select("node", "fp"), size["rows"])), nodes, docs, similarity)
+
+
+def near_links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, cell_rows: int = CELL_ROWS, known: DataFrame | None = None) -> DataFrame:
+    """Links ``(a, b)`` that join all near copies among ``nodes(node, least, marks, size, keys)`` that share a band.
+
+    ``known`` are verified links of another method; what they join needs no more links.
+    """
     spark = nodes.sparkSession
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("rows", F.col("n")), "copies-shared")
@@ -254,6 +273,7 @@ def near_links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY
     blocks = F.ceil(F.col("rows") / (2 * cell_rows)).cast("int")
     first = met.select("node", "marks", F.when(blocks == 1, F.col("key")).otherwise(F.xxhash64(F.lit(4), "key", _dealt(0, blocks))).alias("cell"))
     sure = _verified(meetings(first).mapInPandas(_likely, "a long, b long"), nodes, docs, similarity)
+    sure = sure if known is None else sure.unionByName(known)
 
     star = components(sure, "copies-sure").withColumnRenamed("node", "member")
     apart = met.join(star, F.col("node") == F.col("member"), "left").withColumn("root", F.coalesce("root", "node")).drop("member", "rows")
@@ -275,7 +295,8 @@ def near_links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near copies: that of the smallest id, null last.
 
-    Near copies have a Jaccard similarity of ``similarity`` or more in distinct
+    SimHash links and, for what they miss, MinHash bands propose.  Near copies have a
+    Jaccard similarity of ``similarity`` or more in distinct
     five-word shingles, by count, and groups are joined by such pairs.  A text of
     fewer words is its own shingle.  Rows equal in id and text are one row; null
     and blank texts are copies of each other.  Texts are read whole, whatever
@@ -284,8 +305,10 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
     """
     bounded_batches(docs.sparkSession)
     keyed = docs.select(F.col(id_col).alias("doc_id"), _key(id_col, text_col).alias("doc_key"), F.col(text_col).alias("text"))
-    groups = _groups(materialize(keyed.select("doc_id", "doc_key", sketches("text").alias("x")).select("doc_id", "doc_key", "x.*"), "copies-sketches"))
-    named = _named(groups, near_links(groups, keyed.select("doc_key", "text"), similarity))
+    sketched = keyed.select("doc_id", "doc_key", simhash("text").alias("fp"), sketches("text").alias("x")).select("doc_id", "doc_key", "fp", "x.*")
+    groups = _groups(materialize(sketched, "copies-sketches"))
+    texts = keyed.select("doc_key", "text")
+    named = _named(groups, near_links(groups, texts, similarity, known=simhash_links(groups, texts, similarity)))
     stay = materialize(named.select(F.col("least.doc_key").alias("stays")).distinct(), "copies-stay")
     rows = docs.select(_key(id_col, text_col).alias("doc_key"), F.struct(*docs.columns).alias("row"))
     return rows.join(stay, F.col("doc_key") == F.col("stays"), "left_semi").dropDuplicates(["doc_key"]).select("row.*")

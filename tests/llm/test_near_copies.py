@@ -153,3 +153,19 @@ def test_rows_outside_the_largest_group_meet_all_blocks(spark):
     minor = [i for i in range(300) if root[i] != 7]
     assert all(any({i, j} <= cell for cell in met.values()) for i in minor for j in range(300))
     assert sum(map(len, met.values())) <= 300 * 2 + len(minor) * 4
+
+
+def test_simhash_proposes_and_shingles_verify(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    edited = [*base[:200], "other", *base[201:]]
+    filler = "ha " * 300
+    texts = [" ".join(base), " ".join(edited), filler + " ".join(base[:20]), filler + " ".join(base[40:60]), "a b c", " ".join(base) + " " + " ".join(base)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    asked = []
+    links = S.links
+    monkeypatch.setattr(S, "links", lambda nodes, rows: asked.append(rows) or links(nodes, rows))
+    # without any band of minima the links of SimHash alone are left
+    monkeypatch.setattr(S, "near_links", lambda nodes, docs, similarity, known: known)
+    stay = {r["doc_id"] for r in S.one_of_each(docs).collect()}
+    assert asked and {0, 2, 3, 4} <= stay and 1 not in stay
