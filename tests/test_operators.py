@@ -141,3 +141,32 @@ def test_sampling(spark):
         sampling.quota_sample(df, "s", {"0": 500}, "key")
     turns = [r.turn for r in sampling.round_robin(df, ["s"], "key", 7).orderBy("position").collect()]
     assert turns == [1, 1, 1, 2, 2, 2, 3]
+
+
+def test_document_norms_however_the_terms_are_split(spark, monkeypatch):
+    d, texts = docs(spark)
+    tok = tokenized(d)
+    stats = retrieval.statistics(tok)
+    df = {t: sum(t in s.split() for s in texts) for s in texts for t in s.split()}
+    want = {i: round(sum(((1 + math.log(s.split().count(t))) * math.log(1 + (5 - df[t] + .5) / (df[t] + .5))) ** 2 for t in set(s.split())), 9) for i, s in enumerate(texts)}
+    for split in (None, 0, 1, 2, 8):
+        assert {r.doc_id: round(r.dn, 9) for r in retrieval.document_norms(postings(tok), stats, split).collect()} == want
+    assert retrieval._split_frequency(stats.frequency) == 0
+    for rows, split in ((12, 0), (4, 1), (1, 2), (0, 4)):
+        monkeypatch.setattr(retrieval, "BROADCAST_ROWS", rows)
+        assert retrieval._split_frequency(stats.frequency) == split
+    # a shuffle of postings is planned only where rare terms need their own idf
+    plan = lambda split: retrieval.document_norms(postings(tok), stats, split)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(term" not in plan(1)
+
+
+def test_tasks_grow_in_number_and_other_terms_are_not_counted(spark, monkeypatch):
+    from askweave.operators import text_index
+
+    d, _ = docs(spark)
+    few = tokenized(d).rdd.getNumPartitions()
+    monkeypatch.setattr(text_index, "TASK_BYTES", 5)
+    assert tokenized(d).rdd.getNumPartitions() == 15 > few
+    assert tokenized(d.limit(0)).count() == 0
+    wanted = spark.createDataFrame([("red",), ("none",)], "term string")
+    assert {(r.doc_id, r.term, r.tf, r.first_pos) for r in postings(tokenized(d), wanted).collect()} == {(0, "red", 1, 0), (3, "red", 1, 3), (4, "red", 3, 0)}
