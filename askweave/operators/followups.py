@@ -41,6 +41,19 @@ def question_similarity(left: Column, right: Column) -> Column:
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(F.greatest(jaccard, _sequence_ratio(a, b)))
 
 
+def _proposed(listed: DataFrame, key: str, threshold: float) -> DataFrame:
+    """Distinct ``left, right`` of ``listed(key, words, n)`` that share a word of their prefixes and can be similar."""
+    prefix = F.slice("words", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
+    p = listed.select(key, "n", F.posexplode_outer(prefix).alias("at", "w")).where("w is not null")
+    a = p.select(F.col(key).alias("left"), F.col("n").alias("ln"), F.col("at").alias("la"), "w")
+    b = p.select(F.col(key).alias("right"), F.col("n").alias("rn"), F.col("at").alias("ra"), "w")
+    near = (F.col("left") < F.col("right")) & (F.col("ln") >= F.col("rn") * threshold - 1e-9) & (F.col("rn") >= F.col("ln") * threshold - 1e-9)
+    # A similar pair meets at its first common word; what both have from there on bounds its common words.
+    rest = F.least(F.col("ln") - F.col("la"), F.col("rn") - F.col("ra"))
+    enough = rest * (1 + threshold) >= (F.col("ln") + F.col("rn")) * (threshold - 1e-6)
+    return a.join(b, "w").where(near & enough).select("left", "right").distinct()
+
+
 def similar_questions(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     """Pairs of similar questions, found by shared words instead of by pairing everything.
 
@@ -56,11 +69,7 @@ def similar_questions(df: DataFrame, key: str, text: str, threshold: float) -> D
     equal = normed.where("_norm <> ''").join(unique.where("_norm <> ''").select("_norm", F.col(key).alias("left")), "_norm").where(F.col("_key") != F.col("left")).select(
         "left", F.col("_key").alias("right"), F.lit(1.0).alias("similarity"))
     listed = unique.select(key, F.transform(words, lambda x: x["w"]).alias("words")).withColumn("n", F.size("words")).where("n > 0")
-    prefix = F.slice("words", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
-    p = listed.select(key, "n", F.explode_outer(prefix).alias("w")).where("w is not null")
-    a, b = p.select(F.col(key).alias("left"), F.col("n").alias("ln"), "w"), p.select(F.col(key).alias("right"), F.col("n").alias("rn"), "w")
-    near = (F.col("left") < F.col("right")) & (F.col("ln") >= F.col("rn") * threshold - 1e-9) & (F.col("rn") >= F.col("ln") * threshold - 1e-9)
-    pairs = a.join(b, "w").where(near).select("left", "right").distinct()
+    pairs = _proposed(listed, key, threshold)
     j = pairs.join(listed.select(F.col(key).alias("left"), F.col("words").alias("lw")), "left").join(
         listed.select(F.col(key).alias("right"), F.col("words").alias("rw")), "right")
     common = F.size(F.array_intersect("lw", "rw"))

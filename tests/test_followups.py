@@ -70,3 +70,20 @@ def test_echoes_of_accepted_questions_are_duplicates(spark):
             (2, "ROLE", 1, "An giữ vai trò gì trong phong trào này?", "TOPIC_DRIFT"), (2, "ROLE", 2, "An giữ vai trò gì trong phong trào nay?", None)]
     got = {(r["question_id"], r["ordinal"]): r["rejection"] for r in followups._without_echoes(spark.createDataFrame(rows, "question_id int, _rel string, ordinal int, text string, rejection string")).collect()}
     assert got == {(1, 1): None, (1, 2): "DUPLICATE_QUESTION", (1, 3): "DUPLICATE_QUESTION", (1, 4): None, (2, 1): "TOPIC_DRIFT", (2, 2): None}
+
+
+def test_similar_questions_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    words = [f"tu{i}" for i in range(14)]
+    texts = sorted({" ".join(rng.sample(words, rng.randrange(1, 9))) for _ in range(160)})
+    sets = [set(t.split()) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for threshold in (0.5, 0.6, 0.75, 1.0):
+        want = {(i, j): round(len(a & b) / len(a | b), 6) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and len(a & b) >= threshold * len(a | b)}
+        assert {(r.left, r.right): r.similarity for r in followups.similar_questions(df, "id", "text", threshold).collect()} == want
+    # a pair whose first common word comes too late is not proposed
+    far = spark.createDataFrame([(1, list("abcde"), 5), (2, list("xycde"), 5)], "id long, words array<string>, n int")
+    assert [(r.left, r.right) for r in followups._proposed(far, "id", 0.6).collect()] == []
+    assert {(r.left, r.right) for r in followups._proposed(far, "id", 0.4).collect()} == {(1, 2)}
