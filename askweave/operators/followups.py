@@ -15,7 +15,7 @@ from askweave.functions.questions import cases, has
 from askweave.functions.subjects import subject_of
 from askweave.operators import ranking
 from askweave.operators.retrieval import bm25_over
-from askweave.operators.text_index import Statistics, query_terms
+from askweave.operators.text_index import Statistics, parts_for, query_terms
 from askweave.operators.validation import add_subject_consistency
 from askweave.session import materialize
 
@@ -105,21 +105,25 @@ def discover(contexts: DataFrame) -> DataFrame:
     context, relevance, is_selected``.  The subject is reduced to its focus, or
     inferred from the question where there is none.
     """
-    known = contexts.withColumn("subject", subject_of(F.col("subject"), F.col("question")))
-    rows = materialize(known, "followup-contexts").where(F.coalesce(F.col("subject"), F.lit("")) != "").withColumn("_s", T.split_sentences(F.col("context")))
+    spread = contexts.repartition(parts_for(contexts, "context"), "question_id")
+    known = spread.withColumn("subject", subject_of(F.col("subject"), F.col("question")))
+    rows = materialize(known, "followup-contexts").where(F.coalesce(F.col("subject"), F.lit("")) != "")
+
+    def rx(*parts) -> Column:
+        return F.concat(F.lit("(?U)"), *[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    # What a whole passage says about its subject is found once, before the passage is split.
+    rows = rows.withColumns({"_s": T.split_sentences(F.col("context")), "_fs": T.squeeze(T.fold_case(F.col("subject")))})
+    literal = F.concat(F.lit(r"\Q"), F.col("_fs"), F.lit(r"\E"))
+    rows = rows.withColumn("_cued", F.rlike(T.squeeze(T.fold_case(F.col("context"))), rx(
+        rf"(?:\b{fixed.FU_PERSON_CUE}\b.{{0,18}}", literal, "|", literal, rf".{{0,55}}\b{fixed.FU_PERSON_CUE}\b)")))
     rows = rows.select("*", F.posexplode_outer("_s").alias("sentence_no", "sentence")).where("sentence is not null").drop("_s")
-    rows = add_subject_consistency(rows)
+    rows = add_subject_consistency(rows).drop("context")
     rows = rows.withColumns({
-        "_f": T.squeeze(T.fold_case(F.col("sentence"))), "_o": F.lower("sentence"), "_fs": T.squeeze(T.fold_case(F.col("subject"))),
+        "_f": T.squeeze(T.fold_case(F.col("sentence"))), "_o": F.lower("sentence"),
         "_sw": content_words(F.col("subject")), "_ww": content_words(F.col("sentence")), "_aw": F.array_distinct(content_words(F.coalesce("answer", F.lit("")))),
-        "_fc": T.squeeze(T.fold_case(F.col("context"))),
     })
     f, o, sub = F.col("_f"), F.col("_o"), F.col("_fs")
-    literal = F.concat(F.lit(r"\Q"), sub, F.lit(r"\E"))
-
-    def rx(*parts) -> Column:
-        return F.concat(F.lit("(?U)"), *[F.lit(p) if isinstance(p, str) else p for p in parts])
-
     surface = F.rlike(o, rx(r"(?<!\w)\Q", F.lower("subject"), r"\E(?!\w)"))
     pronoun = has(f, fixed.FU_PRONOUN)
     mismatch = (F.size("_sw") == 1) & ~surface & ~pronoun
@@ -143,8 +147,7 @@ def discover(contexts: DataFrame) -> DataFrame:
         "_date": has(o, fixed.FU_DATE_SURFACE), "_place": has(o, fixed.FU_PLACE_SURFACE), "_nb": near(fixed.FU_BIRTH, 40), "_nd": near(fixed.FU_DEATH, 40),
         "_event": has(sub, fixed.FU_EVENT_SUBJECT) & near(fixed.FU_EVENT, 60), "_timed": before(fixed.FU_TIMED_ACTION, 65),
         "_life": F.rlike(f, rx(literal, r"\s*\([^)]*\b(?:1\d{3}|20\d{2})\b[^)]*(?:-|–|—|den)\s*[^)]*\b(?:1\d{3}|20\d{2})\b[^)]*\)")),
-        "_person": ~has(sub, fixed.FU_NOT_PERSON) & ((F.size(F.array_distinct("_sw")) >= 2) | F.rlike(F.col("_fc"), rx(
-            rf"(?:\b{fixed.FU_PERSON_CUE}\b.{{0,18}}", literal, "|", literal, rf".{{0,55}}\b{fixed.FU_PERSON_CUE}\b)"))),
+        "_person": ~has(sub, fixed.FU_NOT_PERSON) & ((F.size(F.array_distinct("_sw")) >= 2) | F.col("_cued")),
     })
 
     def clause(pattern: str, x: Column) -> Column:

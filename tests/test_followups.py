@@ -1,8 +1,11 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from askweave.functions import subjects
 from askweave.operators import followups, text_index
+from askweave.operators.validation import add_subject_consistency
 
 CONTEXT = ("question_id int, question string, answer string, subject string, relation string, target string, predicate string, passage_id string, "
            "context string, relevance double, is_selected boolean, position int")
@@ -87,3 +90,43 @@ def test_similar_questions_against_all_pairs(spark):
     far = spark.createDataFrame([(1, list("abcde"), 5), (2, list("xycde"), 5)], "id long, words array<string>, n int")
     assert [(r.left, r.right) for r in followups._proposed(far, "id", 0.6).collect()] == []
     assert {(r.left, r.right) for r in followups._proposed(far, "id", 0.4).collect()} == {(1, 2)}
+
+
+def test_previous_sentence_in_linear_time(spark):
+    """A run of 300 000 characters without a stop is read once, not once from each of its characters."""
+    long = "a b c d e f " * 25_000
+    rows = spark.createDataFrame([("Quang Trung", "Ông lập kinh đô.", f"{long}. Quang Trung ra Bắc… Ông lập kinh đô. Hết."), ("Lê Lợi", "Ông lập kinh đô.", "Lê Lợi lên ngôi\r\n Ông lập kinh đô.")], "subject string, sentence string, context string")
+    began = time.perf_counter()
+    out = add_subject_consistency(rows).select("subject_status", "subject_reason").collect()
+    assert time.perf_counter() - began < 30
+    assert [tuple(r) for r in out] == [("VALID", "PREVIOUS_SENTENCE_COREFERENCE")] * 2
+
+
+def test_heads_of_sentences_are_those_of_the_plain_pattern(spark):
+    texts = ["", "abc", "ab. cd", "ab.", "ab\ncd", "ab\n", "ab.\n", "ab\r\n", "a!b?c", "\n", "x ", "a.b\r", "é!ü\n\n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for stops in (r".!?", r".!?\n"):
+        plain, quick = (F.regexp_extract("t", rf"(?s){ahead}([^{stops}]*)$", 1) for ahead in ("", f"(?<![^{stops}])"))
+        assert df.where(plain != quick).count() == 0
+
+
+def test_sentences_do_not_carry_their_passage(spark):
+    """A passage of many sentences is split over tasks by question, and its text is not repeated in every sentence."""
+    body = "Nhà thơ Nguyễn Du sinh năm 1766 tại Thăng Long. Ông viết truyện."
+    rows = [(i, "Nguyễn Du là ai?", "", "Nguyễn Du", None, None, None, f"p{i}", body, 1.0, True, 1) for i in range(20)]
+    contexts = spark.createDataFrame(rows, "question_id long, question string, answer string, subject string, relation string, target string, predicate string, passage_id string, context string, relevance double, is_selected boolean, position int").coalesce(1)
+    stored = {}
+    plain = followups.materialize
+
+    def kept(df, label):
+        stored[label] = df
+        return plain(df, label)
+
+    followups.materialize = kept
+    try:
+        found = followups.discover(contexts)
+    finally:
+        followups.materialize = plain
+    assert "context" not in stored["followup-sentences"].columns
+    assert stored["followup-contexts"].rdd.getNumPartitions() > 1
+    assert {"BIRTH_TIME", "BIRTH_LOCATION"} <= {r["followup"] for r in found.where("question_id = 3").collect()}
