@@ -170,3 +170,36 @@ def test_tasks_grow_in_number_and_other_terms_are_not_counted(spark, monkeypatch
     assert tokenized(d.limit(0)).count() == 0
     wanted = spark.createDataFrame([("red",), ("none",)], "term string")
     assert {(r.doc_id, r.term, r.tf, r.first_pos) for r in postings(tokenized(d), wanted).collect()} == {(0, "red", 1, 0), (3, "red", 1, 3), (4, "red", 3, 0)}
+
+
+def test_overlap_meets_the_plain_comparison_with_few_candidates(spark, monkeypatch):
+    """Texts that share common words only are dropped before their words are compared; the result is that of all pairs."""
+    import random
+
+    from askweave.operators import gold
+
+    rng = random.Random(5)
+    texts = []
+    for _ in range(60):
+        words = [f"w{int(200 * rng.random() ** 2)}" for _ in range(rng.choice([3, 10, 60]))]
+        texts += [" ".join(words), " ".join([*words[1:], f"x{len(texts)}"]), " ".join(w for w in words if rng.random() < 0.93)]
+    texts += ["", "  ", "w1"]
+    sets = {i: {w for w in t.lower().split() if w} for i, t in enumerate(texts)}
+    want = {}
+    for i, a in sets.items():
+        scored = [(-len(a & b) / len(a | b), j) for j, b in sets.items() if j != i and a and b]
+        best = min(scored, default=(0, 0))
+        if -best[0] >= 0.8:
+            want[i] = (best[1], round(-best[0], 6))
+    stored = {}
+    plain = gold.materialize
+
+    def kept(df, label):
+        stored[label] = plain(df, label)
+        return stored[label]
+
+    monkeypatch.setattr(gold, "materialize", kept)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = gold.best_overlap(docs.selectExpr("doc_id AS query_id", "text AS context"), docs, 0.8, others_only=True)
+    assert {r["query_id"]: (r["doc_id"], r["overlap"]) for r in out.collect()} == want
+    assert stored["overlap-alive"].count() < len(texts) * 4
