@@ -8,12 +8,15 @@ of their document; only ``k`` rows per query and task are exchanged.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from math import ceil
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from askweave.functions import fixed
 from askweave.functions import text as T
-from askweave.operators import ranking
+from askweave.operators import boosted_cells, ranking
 from askweave.operators.text_index import Statistics, maybe_broadcast, parts_for, postings, query_terms, statistics, tokenized
 from askweave.session import BROADCAST_BYTES, BROADCAST_ROWS, fits, materialize
 
@@ -295,74 +298,8 @@ def hashed_tfidf(docs: DataFrame, queries: DataFrame, k: int, buckets: int | Non
 
 # --- serving retrieval: base score plus lexical boosts ---------------------------------
 
-PHRASE_LIMIT, PHRASE_STEP, WINDOW = 1.5, 0.35, 40
-LEAD_LIMIT = 1.0 + 0.8 + 2.4
-
-
-def query_arrays(queries: DataFrame, query_id: str, query_text: str, tokenizer=T.tokenize) -> DataFrame:
-    """``query_id, q_tokens, q_terms, grams_2, grams_3, grams_4``: tokens, distinct tokens, and their n-grams."""
-    q = queries.select(F.col(query_id).alias("query_id"), tokenizer(F.col(query_text)).alias("q_tokens"))
-    q = q.withColumn("q_terms", F.array_distinct("q_tokens"))
-
-    def grams(size: int) -> Column:
-        last = F.size("q_tokens") - size
-        return F.when(
-            last >= 0,
-            F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice("q_tokens", i + 1, F.lit(size)), " ")),
-        ).otherwise(F.array().cast("array<string>"))
-
-    return q.withColumns({f"grams_{n}": grams(n) for n in (2, 3, 4)})
-
-
-def _marked_postings(tok: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """Postings of body and title in one pass: ``tf`` is 0 for terms that occur only in the title.
-
-    With ``wanted(term)``, which must fit a broadcast, other terms are dropped before they are counted.
-    """
-    body = F.transform("tokens", lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
-    title = F.transform("title_tokens", lambda t: F.struct(t.alias("term"), F.lit(None).cast("int").alias("pos")))
-    rows = tok.select("doc_id", "len", F.size("title_tokens").alias("title_len"),
-                      F.explode_outer(F.concat(body, title)).alias("x")).where(F.col("x").isNotNull())
-    rows = rows.select("doc_id", "len", "title_len", "x.term", "x.pos")
-    if wanted is not None:
-        rows = rows.join(F.broadcast(wanted), "term", "left_semi")
-    return rows.groupBy("doc_id", "len", "title_len", "term").agg(
-        F.count("pos").alias("tf"), F.min("pos").alias("first_pos"),
-        F.max(F.when(F.col("pos").isNull(), 1).otherwise(0)).alias("in_title"),
-    )
-
-
-def _boosted_pairs(tok: DataFrame, terms: DataFrame, method: str, small: bool) -> DataFrame:
-    """Base score plus coverage, title and proximity boosts, with the coverage kept for bounds."""
-    n_terms = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
-    post = _marked_postings(tok, _wanted(terms, small))
-    stats = statistics(tok, terms if method == "bm25" else None)
-    if method == "bm25":
-        weights = terms.join(term_idf(stats, "binary"), "term", "left").select(
-            "query_id", "term", F.coalesce(F.col("qtf") * F.col("idf"), F.lit(0.0)).alias("weight")
-        )
-        gain = _gain("binary", F.col("tf"), F.col("len"), F.lit(stats.avg_len), fixed.BM25_K1, fixed.BM25_B)
-        base = F.sum(F.when(F.col("tf") > 0, F.col("weight") * gain).otherwise(0.0))
-    else:
-        weights = terms.select("query_id", "term", F.lit(0.0).alias("weight"))
-        base = F.lit(0.0)
-    in_body = F.col("tf") > 0
-    joined = join_terms(post, weights.join(n_terms, "query_id"), small)
-    pairs = joined.groupBy("doc_id", "query_id", "n_terms").agg(
-        base.alias("base"),
-        F.sum(F.when(in_body, 1).otherwise(0)).alias("matched"),
-        F.sum("in_title").alias("titled"),
-        (F.max("first_pos") - F.min("first_pos") + 1).alias("span"),
-    ).where(F.col("matched") > 0)
-    if method == "tfidf":
-        cosine = tfidf_pairs(_marked_postings(tok), stats, terms, small, post)
-        pairs = pairs.drop("base").join(cosine.withColumnRenamed("score", "base"), ["doc_id", "query_id"])
-    near = (F.col("matched") >= 2) & (F.col("span") <= WINDOW)
-    score = (
-        F.col("base") + 2.0 * F.col("matched") / F.col("n_terms") + 0.8 * F.col("titled") / F.col("n_terms")
-        + F.when(near, (WINDOW - F.col("span")) / float(WINDOW)).otherwise(0.0)
-    )
-    return pairs.select("doc_id", "query_id", score.alias("partial"), (F.col("matched") == F.col("n_terms")).alias("complete"))
+#: Questions that a cell answers at a time.
+QUERY_BLOCK = 2048
 
 
 def find_sequence(tokens: Column, sequence: Column) -> Column:
@@ -393,55 +330,87 @@ def lexical_retrieve(docs: DataFrame, queries: DataFrame, k: int, method: str =
                      query_text: str = "question") -> DataFrame:
     """Base score plus all lexical boosts, exact, with min-max scores.
 
-    Phrase and lead boosts need the text, so they are computed only where they
-    can matter: both are non-negative and bounded, and a pair whose partial
-    score plus its bound stays below the k-th partial score cannot enter the
-    top-k.  The first pass finds that k-th score, the second pass scores the
-    remaining pairs in full.
+    Questions and documents meet in cells (:mod:`boosted_cells`), so that no pair is
+    a row.  The boost for the first sentence needs the text; a cell emits what can
+    reach its best ``k`` with that boost, which is then computed for the emitted
+    pairs that hold all words of the question.
     """
     if method not in ("bm25", "tfidf"):
         raise ValueError(f"unknown retriever: {method}")
-    tok = tokenized(docs, doc_id, doc_text, title)
-    terms = query_terms(queries, query_id, query_text)
-    small = fits(terms)
-    # Stored: the k-th score and the pairs that can reach it are two passes over them.
-    pairs = materialize(_boosted_pairs(tok, terms, method, small), "lexical-pairs")
-    best = ranking.top_k(pairs.select("doc_id", "query_id", F.col("partial").alias("score")), k)
-    floor = best.groupBy("query_id").agg(
-        F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("floor")
-    )
-    bound = PHRASE_LIMIT + F.when(F.col("complete"), LEAD_LIMIT).otherwise(0.0)
-    alive = materialize(pairs.join(F.broadcast(floor) if small else floor, "query_id").where(
-        F.col("partial") + bound >= F.col("floor") - 1e-5
-    ), "lexical-alive")
-    arrays = query_arrays(queries, query_id, query_text)
-    # Texts are folded and split only where a pair is alive.
-    bodies = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_text), F.lit("")).alias("text")).join(
-        maybe_broadcast(alive.select("doc_id").distinct()), "doc_id", "left_semi").repartition("doc_id")
-    bodies = bodies.select(
-        "doc_id", F.array_join(T.tokenize(F.col("text")), " ").alias("body"),
-        T.raw_tokens(F.coalesce(F.get(T.split_sentences(F.col("text")), F.lit(0)), F.lit(""))).alias("lead_raw"),
-    )
-    full = alive.join(bodies, "doc_id").join(maybe_broadcast(arrays), "query_id")
-    # A longer phrase can only occur where its first two words do, so each length
-    # tests the positions the shorter one left over.
-    full = full.withColumn("_p2", F.filter(
-        F.transform("grams_2", lambda g, i: F.when(F.contains(F.col("body"), g), i)), lambda i: i.isNotNull()))
-    for n in (3, 4):
-        full = full.withColumn(f"_p{n}", F.filter(f"_p{n - 1}", lambda i: F.coalesce(
-            F.contains(F.col("body"), F.get(F.col(f"grams_{n}"), i)), F.lit(False))))
-    phrases = F.size("_p2") + F.size("_p3") + F.size("_p4")
-    full = full.withColumn(
-        "_at", F.when(F.col("complete"), find_sequence(T.content_only(F.col("lead_raw")), F.col("q_terms"))).otherwise(-1)
-    ).withColumn("_raw_at", F.when(F.col("_at") >= 0, find_sequence(F.col("lead_raw"), F.col("q_terms"))).otherwise(-1))
+    spark = docs.sparkSession
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_text), F.lit("")).alias("text"), F.coalesce(F.col(title), F.lit("")).alias("title"))
+    texts = texts.withColumn("row", F.xxhash64("text"))
+    cells = parts_for(texts, "text")
+
+    def spread(key: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+    # Texts are exchanged once; their tokens are numbers from here on.
+    tok = texts.withColumn("cell", spread("doc_id", cells)).repartition(2 * cells, "cell").select(
+        "cell", "doc_id", "row", T.tokenize(F.col("text")).alias("tokens"), F.array_distinct(T.tokenize(F.col("title"))).alias("title_tokens"))
+    id_type = texts.schema["doc_id"].dataType.simpleString()
+    kind = spark.createDataFrame([], f"cell int, doc_id {id_type}, row bigint, codes array<bigint>, title_codes array<bigint>, terms array<string>, dfs array<bigint>, n bigint, length bigint").schema
+    held = materialize(tok.groupBy("cell").applyInArrow(boosted_cells.encode(to_arrow_schema(kind)), kind), "lexical-cells")
+    own = held.where("terms IS NOT NULL")
+    listed = own.select("cell", F.posexplode(F.arrays_zip("terms", "dfs")).alias("code", "x")).select("cell", "code", F.col("x.terms").alias("term"), F.col("x.dfs").alias("df")).where("df > 0")
+    frequency = materialize(listed.groupBy("term").agg(F.sum("df").alias("df")), "terms")
+    total = own.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first()
+    stats = Statistics(frequency, total["n"], total["length"] / total["n"] if total["n"] else 0.0)
+
+    asked = _asked_rows(queries, query_id, query_text, stats, method)
+    if method == "tfidf":
+        dfs = listed.drop("df").join(frequency, "term").groupBy("cell").agg(F.collect_list(F.struct("code", "df")).alias("x"))
+        held = held.unionByName(dfs.select("cell", F.col("x.code").cast("array<bigint>").alias("codes"), F.col("x.df").alias("dfs")), allowMissingColumns=True)
+    blocks = max(1, ceil(asked.count() / QUERY_BLOCK))
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    # More partitions than cells, so that few of them hold two cells.
+    tasks = 2 * blocks * cells
+    left = asked.withColumn("block", spread("query_id", blocks)).withColumn("cell", every(cells)).repartition(tasks, "block", "cell")
+    right = held.withColumn("block", every(blocks)).repartition(tasks, "block", "cell")
+    found = spark.createDataFrame([], f"query_id {asked.schema['query_id'].dataType.simpleString()}, ask bigint, doc_id {id_type}, row bigint, score double, complete boolean").schema
+    gain = boosted_cells.binary_gain(stats.avg_len) if method == "bm25" else boosted_cells.log_gain
+    idf = boosted_cells.tfidf_idf(stats.n_docs) if method == "tfidf" else None
+    pairs = materialize(left.groupBy("block", "cell").cogroup(right.groupBy("block", "cell")).applyInArrow(
+        boosted_cells.cell(k, gain, idf, to_arrow_schema(found)), found), "lexical-pairs")
+    scored = pairs.where("NOT complete").select("query_id", "doc_id", "score").unionByName(_with_lead(pairs.where("complete"), texts, asked))
+    return ranking.min_max(ranking.top_k(scored.where(F.col("score") > 0), k))
+
+
+def _asked_rows(queries: DataFrame, query_id: str, query_text: str, stats: Statistics, method: str) -> DataFrame:
+    """``query_id, ask, tokens, n_terms, terms, weights``: a row for each question; questions of one id share its words."""
+    terms = query_terms(queries, query_id, query_text).where("query_id IS NOT NULL")
+    idf = term_idf(stats, "binary" if method == "bm25" else "tfidf")
+    # Words that no document has are counted among the words of the question.
+    known = terms.join(idf, "term", "left").withColumn("idf", F.coalesce("idf", F.lit(0.0)))
+    weight = F.col("qtf") * F.col("idf")
+    if method == "tfidf":
+        own = _log_tf(F.col("qtf")) * F.col("idf")
+        norm = F.sqrt(F.sum(own * own).over(Window.partitionBy("query_id")))
+        weight = F.when(norm > 0, own * F.col("idf") / norm).otherwise(0.0)
+    words = known.withColumn("weight", weight).groupBy("query_id").agg(
+        F.collect_list(F.struct("term", "weight")).alias("x"), F.count(F.lit(1)).alias("n_terms"))
+    words = words.select("query_id", "n_terms", F.col("x.term").alias("terms"), F.col("x.weight").alias("weights"))
+    rows = queries.select(F.col(query_id).alias("query_id"), F.xxhash64(query_text).alias("ask"), T.tokenize(F.col(query_text)).alias("tokens"))
+    return materialize(rows.where("tokens IS NOT NULL").join(words, "query_id"), "lexical-asked")
+
+
+def _with_lead(pairs: DataFrame, texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """Scores of complete pairs with the boost for the first sentence; a text is split once for all its questions."""
+    met = pairs.select("doc_id", "row").distinct()
+    leads = texts.select("doc_id", "row", "text").join(maybe_broadcast(met), ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"]).select(
+        "doc_id", "row", T.raw_tokens(F.coalesce(F.get(T.split_sentences(F.col("text")), F.lit(0)), F.lit(""))).alias("lead_raw"))
+    words = asked.select("query_id", "ask", F.array_distinct("tokens").alias("q_terms")).dropDuplicates(["query_id", "ask"])
+    full = pairs.join(leads, ["doc_id", "row"]).join(maybe_broadcast(words), ["query_id", "ask"])
+    full = full.withColumn("_at", find_sequence(T.content_only(F.col("lead_raw")), F.col("q_terms"))).withColumn(
+        "_raw_at", F.when(F.col("_at") >= 0, find_sequence(F.col("lead_raw"), F.col("q_terms"))).otherwise(-1))
     after = F.col("_raw_at") + F.size("q_terms")
     tail = F.slice("lead_raw", after + 1, F.size("lead_raw"))
     full = full.withColumn(
-        "_la", F.when((F.col("_raw_at") >= 0) & F.array_contains(tail, "la"), after + F.array_position(tail, "la") - 1).otherwise(-1)
-    )
-    score = F.col("partial") + F.least(F.lit(PHRASE_LIMIT), PHRASE_STEP * phrases) + _lead_boost(full)
-    scored = full.select("query_id", "doc_id", score.alias("score")).where(F.col("score") > 0)
-    return ranking.min_max(ranking.top_k(scored, k))
+        "_la", F.when((F.col("_raw_at") >= 0) & F.array_contains(tail, "la"), after + F.array_position(tail, "la") - 1).otherwise(-1))
+    return full.select("query_id", "doc_id", (F.col("score") + _lead_boost(full)).alias("score"))
 
 
 def hybrid(lexical: DataFrame, dense: DataFrame, k: int) -> DataFrame:
