@@ -20,6 +20,8 @@ from askweave.operators.validation import add_subject_consistency
 from askweave.session import materialize
 
 CONF = fixed.FOLLOWUP
+#: Longs of a question's word marks.
+MARKS = 8
 
 
 def content_words(x: Column) -> Column:
@@ -41,17 +43,33 @@ def question_similarity(left: Column, right: Column) -> Column:
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(F.greatest(jaccard, _sequence_ratio(a, b)))
 
 
+def _word_marks(words: Column) -> list[Column]:
+    """``MARKS`` longs in which each word sets one bit."""
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 8), F.lit(64)).cast("int"))
+    return [F.aggregate(F.filter(hashes, lambda h: F.pmod(h, F.lit(MARKS)) == i), F.lit(0).cast("long"), lambda out, h: out.bitwiseOR(bit(h))).alias(f"m{i}")  # noqa: B023
+            for i in range(MARKS)]
+
+
 def _proposed(listed: DataFrame, key: str, threshold: float) -> DataFrame:
-    """Distinct ``left, right`` of ``listed(key, words, n)`` that share a word of their prefixes and can be similar."""
+    """Distinct ``left, right`` of ``listed(key, words, n)`` that share a word of their prefixes and can be similar.
+
+    A row of a prefix carries the marks of all words, so that a pair is dropped
+    where its rows meet: a bit set on one side only stands for a word of that side alone.
+    """
+    marks = [f"m{i}" for i in range(MARKS)]
     prefix = F.slice("words", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
-    p = listed.select(key, "n", F.posexplode_outer(prefix).alias("at", "w")).where("w is not null")
-    a = p.select(F.col(key).alias("left"), F.col("n").alias("ln"), F.col("at").alias("la"), "w")
-    b = p.select(F.col(key).alias("right"), F.col("n").alias("rn"), F.col("at").alias("ra"), "w")
+    p = materialize(listed.select(key, "n", F.transform(prefix, lambda w: F.xxhash64(w)).alias("prefix"), *_word_marks(F.col("words"))), "question-prefixes")
+    p = p.select(F.col(key).alias("left"), F.col("n").alias("ln"), *marks, F.posexplode_outer("prefix").alias("la", "w")).where("w is not null")
+    b = p.withColumnsRenamed({"left": "right", "ln": "rn", "la": "ra", **{m: f"r{m}" for m in marks}})
     near = (F.col("left") < F.col("right")) & (F.col("ln") >= F.col("rn") * threshold - 1e-9) & (F.col("rn") >= F.col("ln") * threshold - 1e-9)
     # A similar pair meets at its first common word; what both have from there on bounds its common words.
     rest = F.least(F.col("ln") - F.col("la"), F.col("rn") - F.col("ra"))
-    enough = rest * (1 + threshold) >= (F.col("ln") + F.col("rn")) * (threshold - 1e-6)
-    return a.join(b, "w").where(near & enough).select("left", "right").distinct()
+    both = F.col("ln") + F.col("rn")
+    enough = rest * (1 + threshold) >= both * (threshold - 1e-6)
+    apart = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"r{m}"))) for m in marks), F.lit(0))
+    close = (both - apart) * (1 + threshold) >= 2 * both * (threshold - 1e-6)
+    return p.join(b, "w").where(near & enough & close).select("left", "right").distinct()
 
 
 def similar_questions(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
@@ -69,7 +87,8 @@ def similar_questions(df: DataFrame, key: str, text: str, threshold: float) -> D
     equal = normed.where("_norm <> ''").join(unique.where("_norm <> ''").select("_norm", F.col(key).alias("left")), "_norm").where(F.col("_key") != F.col("left")).select(
         "left", F.col("_key").alias("right"), F.lit(1.0).alias("similarity"))
     listed = unique.select(key, F.transform(words, lambda x: x["w"]).alias("words")).withColumn("n", F.size("words")).where("n > 0")
-    pairs = _proposed(listed, key, threshold)
+    listed = materialize(listed, "question-words")
+    pairs = materialize(_proposed(listed, key, threshold), "question-pairs")
     j = pairs.join(listed.select(F.col(key).alias("left"), F.col("words").alias("lw")), "left").join(
         listed.select(F.col(key).alias("right"), F.col("words").alias("rw")), "right")
     common = F.size(F.array_intersect("lw", "rw"))
